@@ -19,8 +19,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import decode, digests, encode
+
+    rule = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return digests(decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *rule).select("doc_id", "ids"), *rule))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
