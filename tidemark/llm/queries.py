@@ -28,9 +28,29 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *rule).select("doc_id", "ids"), *rule))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .store import Workspace
+    from .warc import read, write
+
+    folder = Workspace(spark).path("archive")
+    write(table(spark, sf_dir, "pages"), folder)
+    return read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS winner FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> winner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> winner THEN winner END AS refers_to
+FROM w
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op8_bpe": op8_bpe}
+    return {"op1_simhash": op1_simhash, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9_SQL}
