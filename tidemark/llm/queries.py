@@ -19,6 +19,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import best_fit_sequences
+
+    return best_fit_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +57,7 @@ FROM w
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
+    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
