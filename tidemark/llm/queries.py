@@ -27,6 +27,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,7 +64,7 @@ FROM w
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
+    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op5_quality_rules": op5_quality_rules, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
