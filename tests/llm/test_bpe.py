@@ -4,7 +4,7 @@ import random
 import public_tokenizers
 import tiktoken
 
-from tidemark.llm.bpe import Codec, PerfectHash, decode, digests, encode, load_ranks
+from tidemark.llm.bpe import Codec, PerfectHash, decode, digests, encode, load_ranks, splitter
 from tidemark.llm.queries import op8_bpe
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -58,3 +58,15 @@ def test_query_against_the_library(spark):
         ids = ORACLE.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
     assert digests(spark.createDataFrame([], "doc_id long, ids array<int>, decoded binary")).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_quick_engine_equals_the_full_one():
+    import regex
+
+    split, full = splitter(PATTERN), regex.compile(PATTERN).findall
+    rng = random.Random(9)
+    for _ in range(20000):
+        text = "".join(rng.choice(ALPHABET + "ĀǀªµºÀ×÷ɏɐ") for _ in range(rng.randint(0, 9)))
+        assert split(text) == full(text)
+    odd = r"\p{L}++|\[|."
+    assert splitter(odd)("ab[c") == regex.compile(odd).findall("ab[c")
