@@ -52,6 +52,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import perplexities
+
+    return perplexities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
@@ -64,7 +70,7 @@ FROM w
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op5_quality_rules": op5_quality_rules, "op8_bpe": op8_bpe, "op9_warc": op9_warc}
+    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op5_quality_rules": op5_quality_rules, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_kneser_ney": op10_kneser_ney}
 
 
 def oracle_sql() -> dict[str, str]:
