@@ -67,9 +67,11 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     revisit = (F.col("bytes") >= least) & ~F.col("id").eqNullSafe(F.col("winner")) & F.col("winner").isNotNull()
     headers = named.select(F.when(revisit, _header("revisit")).otherwise(_header("response")).alias("header"), F.concat("sha256", F.lit(":"), "sha1").alias("address"))
     headers.write.option("compression", "zstd").parquet(f"{folder}/headers")
-    writers = winners.select(F.col("winner"), F.concat("sha256", F.lit(":"), "sha1").alias("address"))
-    stored = rows.select("id", "payload").join(writers, F.col("id").eqNullSafe(F.col("winner")))
-    stored = stored.where(F.concat(F.sha2("payload", 256), F.lit(":"), F.sha1("payload")) == F.col("address")).select("address", "payload").dropDuplicates(["address"])
+    slot = F.coalesce("id", F.lit(-(1 << 63)))  # a null id's; the address tells it from that id
+    writers = winners.select(F.col("winner").alias("id"), F.concat("sha256", F.lit(":"), "sha1").alias("address")).select(slot.alias("slot"), "address")
+    verified = F.concat(F.sha2("payload", 256), F.lit(":"), F.sha1("payload"))
+    stored = rows.select(slot.alias("slot"), verified.alias("address"), "payload").join(writers, ["slot", "address"])
+    stored = stored.dropDuplicates(["slot", "address"]).select("address", "payload")  # of a repeated id; keeps the join's partitioning
     stored.write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
