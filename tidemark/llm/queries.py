@@ -34,6 +34,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digests, find
+
+    return digests(find(table(spark, sf_dir, "documents")))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
@@ -76,7 +82,7 @@ FROM w
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op5_quality_rules": op5_quality_rules, "op7_licenses": op7_licenses, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_kneser_ney": op10_kneser_ney}
+    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op5_quality_rules": op5_quality_rules, "op6_pii": op6_pii, "op7_licenses": op7_licenses, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_kneser_ney": op10_kneser_ney}
 
 
 def oracle_sql() -> dict[str, str]:
