@@ -19,6 +19,60 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is its document's label: bad if of low quality or toxic; the path names the document."""
+    from pyspark.sql import functions as F
+
+    from .url_filters import filter_urls
+
+    bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
+    outcomes = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy(F.col("doc_id").alias("ref")).agg(F.bool_or(bad).alias("bad"))
+    reference = F.expr("try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') AS bigint)")
+    return filter_urls(table(spark, sf_dir, "pages"), outcomes, reference)
+
+
+OP2_SQL = """
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+o AS (SELECT doc_id AS ref, CAST(bool_or(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS BIGINT) AS bad
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+c AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad
+      FROM p LEFT JOIN o ON o.ref = try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') AS BIGINT) GROUP BY host),
+b AS (SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM c),
+t AS (SELECT *, array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'ne.jp', 'or.jp',
+             'com.br', 'com.cn', 'com.mx', 'co.in', 'co.nz', 'co.za', 'com.tr', 'com.ar') AS two FROM b),
+named AS (SELECT host, n, bad, array_to_string(CASE WHEN two THEN l[-3:] ELSE l[-2:] END, '.') AS domain,
+                 array_to_string(CASE WHEN two THEN l[-2:] ELSE l[-1:] END, '.') AS suffix FROM t),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY domain, suffix),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
+levels AS (SELECT 'h' AS level, n, bad FROM named UNION ALL SELECT 'd', n, bad FROM d UNION ALL SELECT 's', n, bad FROM s),
+m AS (SELECT level, count(*) AS m, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS x, sum(CAST(bad AS DOUBLE) * bad / n) AS xx, CAST(sum(n * n) AS DOUBLE) AS nn
+      FROM levels WHERE n > 0 GROUP BY level),
+r AS (SELECT level, CASE WHEN x > 0 AND x < n AND n - nn / n > 0
+             THEN (xx - x * x / n - (m - 1) * (x / n) * (1 - x / n)) / (n - nn / n) / ((x / n) * (1 - x / n)) ELSE 0 END AS rho FROM m),
+k AS (SELECT coalesce(max(CASE WHEN level = 'h' AND rho > 0 THEN least(1000, greatest(1, 1 / rho - 1)) END), 1000) AS kh,
+             coalesce(max(CASE WHEN level = 'd' AND rho > 0 THEN least(1000, greatest(1, 1 / rho - 1)) END), 1000) AS kd,
+             coalesce(max(CASE WHEN level = 's' AND rho > 0 THEN least(1000, greatest(1, 1 / rho - 1)) END), 1000) AS ks FROM r),
+g AS (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) AS rate FROM s),
+ps AS (SELECT suffix, (bad + ks * rate) / (n + ks) AS ps FROM s, k, g),
+pd AS (SELECT domain, (bad + kd * ps) / (n + kd) AS pd FROM d JOIN ps USING (suffix), k),
+ab AS (SELECT host, bad + kh * pd AS a, n - bad + kh * (1 - pd) AS b FROM named JOIN pd USING (domain), k),
+post AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower_bound FROM ab),
+ruled AS (SELECT page_id, host, path, CASE
+  WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN lower_bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled JOIN post USING (host)
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,8 +136,8 @@ FROM w
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op5_quality_rules": op5_quality_rules, "op6_pii": op6_pii, "op7_licenses": op7_licenses, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_kneser_ney": op10_kneser_ney}
+    return {"op1_simhash": op1_simhash, "op2_url_filters": op2_url_filters, "op3_packing": op3_packing, "op5_quality_rules": op5_quality_rules, "op6_pii": op6_pii, "op7_licenses": op7_licenses, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_kneser_ney": op10_kneser_ney}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL}
+    return {"op2_url_filters": OP2_SQL, "op9_warc": OP9_SQL}
