@@ -56,9 +56,9 @@ k AS (SELECT coalesce(max(CASE WHEN level = 'h' AND rho > 0 THEN least(1000, gre
              coalesce(max(CASE WHEN level = 'd' AND rho > 0 THEN least(1000, greatest(1, 1 / rho - 1)) END), 1000) AS kd,
              coalesce(max(CASE WHEN level = 's' AND rho > 0 THEN least(1000, greatest(1, 1 / rho - 1)) END), 1000) AS ks FROM r),
 g AS (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) AS rate FROM s),
-ps AS (SELECT suffix, (bad + ks * rate) / (n + ks) AS ps FROM s, k, g),
-pd AS (SELECT domain, (bad + kd * ps) / (n + kd) AS pd FROM d JOIN ps USING (suffix), k),
-ab AS (SELECT host, bad + kh * pd AS a, n - bad + kh * (1 - pd) AS b FROM named JOIN pd USING (domain), k),
+ps AS (SELECT d.domain, d.n AS nd, d.bad AS bd, (s.bad - d.bad + ks * rate) / (s.n - d.n + ks) AS ps FROM d JOIN s USING (suffix), k, g),
+pd AS (SELECT host, n, bad, (bd - bad + kd * ps) / (nd - n + kd) AS pd FROM named JOIN ps USING (domain), k),
+ab AS (SELECT host, bad + kh * pd AS a, n - bad + kh * (1 - pd) AS b FROM pd, k),
 post AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower_bound FROM ab),
 ruled AS (SELECT page_id, host, path, CASE
   WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'

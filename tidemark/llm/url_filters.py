@@ -11,7 +11,8 @@ Rules
 Reputation
     Labelled page outcomes (bad or not) are counted per host.  Suffixes are
     shrunk towards the global rate, registered domains towards their suffix, and
-    hosts towards their domain, by beta-binomial priors whose strengths are
+    hosts towards their domain, each without its own counts, so that none is
+    evidence for itself, by beta-binomial priors whose strengths are
     estimated from the counts of each level (method of moments).  A page is
     blocked where the lower bound of its host's posterior bad rate, ``mean - z *
     deviation``, exceeds ``limit``.
@@ -97,12 +98,13 @@ def reputations(counts: DataFrame, *, z: float = Z) -> DataFrame:
     n, bad = by_suffix.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     ks, kd, kh = strength(by_suffix), strength(by_domain), strength(named)
     rate = (bad + 1.0) / (n + 2.0)
-    suffixes = by_suffix.select("suffix", ((F.col("bad") + ks * rate) / (F.col("n") + ks)).alias("ps"))
-    of_domain = by_domain.join(suffixes, "suffix").select("domain", ((F.col("bad") + kd * F.col("ps")) / (F.col("n") + kd)).alias("pd"))
+    above = by_suffix.select("suffix", F.col("n").alias("ns"), F.col("bad").alias("bs"))
+    of_domain = by_domain.join(above, "suffix").select("domain", F.col("n").alias("nd"), F.col("bad").alias("bd"), ((F.col("bs") - F.col("bad") + ks * rate) / (F.col("ns") - F.col("n") + ks)).alias("ps"))
+    pd = (F.col("bd") - F.col("bad") + kd * F.col("ps")) / (F.col("nd") - F.col("n") + kd)
     a = F.col("bad") + kh * F.col("pd")
     b = F.col("n") - F.col("bad") + kh * (1 - F.col("pd"))
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return named.join(of_domain, "domain").select("host", "pages", (a / (a + b)).alias("mean"), (a / (a + b) - z * deviation).alias("lower"))
+    return named.join(of_domain, "domain").withColumn("pd", pd).select("host", "pages", (a / (a + b)).alias("mean"), (a / (a + b) - z * deviation).alias("lower"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, reference: Column, id_col: str = "page_id", url_col: str = "url", *, rules: Sequence[tuple[str, str]] = RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
