@@ -44,10 +44,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .arrow import open_parcels, parcels
 from .store import Workspace
 
-ORDER = 5
-BLOCK = 8 << 20
+ORDER = 4
+BLOCK = 16 << 20
 QUANTILE = 0.99
 MARGIN = 0.15
 #: Twice about the deviation of one character's negative log-probability.
@@ -118,6 +119,11 @@ def _chunks(texts: Sequence[str]):
         yield start, len(texts)
 
 
+def _merged(parts: Sequence[pa.Table]) -> pa.Table:
+    found = pa.concat_tables(parts).group_by("gram").aggregate([("c", "sum")])
+    return pa.table({"gram": found["gram"], "c": found["c_sum"]})
+
+
 # ------------------------------------------------------------ count tables
 
 
@@ -192,20 +198,23 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     marks = trusted.select(of_id.alias("block"), "id", held.alias("held"))
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        used = right.filter(pc.invert(right["held"]))["id"]
-        fits = pc.fill_null(pc.is_in(left["id"], used.combine_chunks()), False).to_numpy(zero_copy_only=False)
-        texts = [x or "" for x in left["text"].to_pylist()]
-        parts = []
-        for a, b in _chunks(texts):
-            grams, numbers, sizes = ngrams(texts[a:b], order)
-            counted = np.bincount(numbers[np.repeat(fits[a:b], sizes)], minlength=len(grams))
-            parts.append(pa.table({"gram": pa.array(grams, pa.string()), "c": counted.astype(np.int64)}))
-        both = pa.concat_tables(parts).group_by("gram").aggregate([("c", "sum")]) if parts else pa.table({"gram": pa.array([], pa.string()), "c_sum": pa.array([], pa.int64())})
-        at = left["block"][0] if left.num_rows else None
-        return pa.table({"block": pa.array(np.full(both.num_rows, at.as_py() if at else 0, dtype=np.int64)), "gram": both["gram"], "c": both["c_sum"]})
+        used = right.filter(pc.invert(right["held"]))["id"].combine_chunks()
+        parts, at = [pa.table({"gram": pa.array([], pa.string()), "c": pa.array([], pa.int64())})], None
+        for rows in open_parcels(left):
+            at = rows["block"][0].as_py()
+            fits = pc.fill_null(pc.is_in(rows["id"], used), False).to_numpy(zero_copy_only=False)
+            texts = [x or "" for x in rows["text"].to_pylist()]
+            for a, b in _chunks(texts):
+                grams, numbers, sizes = ngrams(texts[a:b], order)
+                counted = np.bincount(numbers[np.repeat(fits[a:b], sizes)], minlength=len(grams))
+                parts.append(pa.table({"gram": pa.array(grams, pa.string()), "c": counted.astype(np.int64)}))
+            if len(parts) > 8:
+                parts = [_merged(parts)]
+        both = _merged(parts)
+        return pa.table({"block": pa.array(np.full(both.num_rows, at or 0, dtype=np.int64)), "gram": both["gram"], "c": both["c"]})
 
     with space.tidy():
-        grams = space.save(spread.select("block", "id", "text").groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(count, "block long, gram string, c long"))
+        grams = space.save(parcels(spread.select("block", "id", "text"), "block").groupBy("key").cogroup(marks.groupBy("block")).applyInArrow(count, "block long, gram string, c long"))
         fitted = space.save(grams.where("c > 0").groupBy("gram").agg(F.sum("c").alias("c")))
         if fitted.isEmpty():
             return spread.select("id", "hash", "lang", F.lit(False).alias("held"), (F.coalesce(F.char_length("text"), F.lit(0)) + 1).cast("long").alias("n"), F.lit(None).cast("double").alias("nll"))
@@ -219,19 +228,26 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
             model = right.filter(pc.is_valid(right["gram"]))
             known_grams, logs = model["gram"].combine_chunks(), model["logp"].to_numpy()
             ids = right.filter(pc.is_null(right["gram"]))["logp"].combine_chunks()
-            texts = [x or "" for x in left["text"].to_pylist()]
-            totals, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for a, b in _chunks(texts):
-                own, numbers, sizes = ngrams(texts[a:b], order)
-                values = logs[pc.index_in(pa.array(own, pa.string()), value_set=known_grams).to_numpy(zero_copy_only=False)]
-                sums = np.concatenate([[0], np.cumsum(values[numbers])])
-                ends = np.cumsum(sizes)
-                totals.append(sums[ends] - sums[ends - sizes])
-                lengths.append(sizes)
-            return pa.table({"id": left["id"], "hash": left["hash"], "lang": left["lang"], "held": pc.fill_null(pc.is_in(left["id"], ids), False), "n": np.concatenate(lengths), "nll": -np.concatenate(totals) / FIXED})
+            found = [pa.table({"id": pa.array([], pa.int64()), "hash": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "held": pa.array([], pa.bool_()), "n": pa.array([], pa.int64()), "nll": pa.array([], pa.float64())})]
+            for rows in open_parcels(left):
+                texts = [x or "" for x in rows["text"].to_pylist()]
+                totals, lengths = [], []
+                for a, b in _chunks(texts):
+                    own, numbers, sizes = ngrams(texts[a:b], order)
+                    values = logs[pc.index_in(pa.array(own, pa.string()), value_set=known_grams).to_numpy(zero_copy_only=False)]
+                    sums = np.concatenate([[0], np.cumsum(values[numbers])])
+                    ends = np.cumsum(sizes)
+                    totals.append(sums[ends] - sums[ends - sizes])
+                    lengths.append(sizes)
+                held = pc.fill_null(pc.is_in(rows["id"], ids), False)
+                found.append(pa.table({"id": rows["id"], "hash": rows["hash"], "lang": rows["lang"], "held": held, "n": np.concatenate(lengths), "nll": -np.concatenate(totals) / FIXED}))
+            return pa.concat_tables(found)
 
         right = sent.union(held_ids)
-        return space.save(spread.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(weigh, "id long, hash long, lang string, held boolean, n long, nll double"))
+        scored = space.save(parcels(spread, "block").groupBy("key").cogroup(right.groupBy("block")).applyInArrow(weigh, "id long, hash long, lang string, held boolean, n long, nll double"))
+    for done in (grams, fitted, wanted):
+        space.drop(done)
+    return scored
 
 
 def judge(scored: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
