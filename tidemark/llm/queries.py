@@ -81,6 +81,21 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no sound, so each document's bytes are played as 8-bit samples at 8 kHz, whole.
+
+    Frames are 32 ms, since most documents last under half a second.  Queries
+    are the documents whose id is divisible by 50.
+    """
+    from pyspark.sql import functions as F
+
+    from .audio import Format, search
+
+    form = Format(rate=8000, frame=256, hop=64, bits=8, low=100.0, high=3600.0)
+    media = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("pcm"))
+    return search(media, "doc_id", "pcm", F.col("doc_id") % 50 == 0, form)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import score, train
 
@@ -136,7 +151,7 @@ FROM w
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_url_filters": op2_url_filters, "op3_packing": op3_packing, "op5_quality_rules": op5_quality_rules, "op6_pii": op6_pii, "op7_licenses": op7_licenses, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_kneser_ney": op10_kneser_ney}
+    return {"op1_simhash": op1_simhash, "op2_url_filters": op2_url_filters, "op3_packing": op3_packing, "op4_chroma": op4_chroma, "op5_quality_rules": op5_quality_rules, "op6_pii": op6_pii, "op7_licenses": op7_licenses, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_kneser_ney": op10_kneser_ney}
 
 
 def oracle_sql() -> dict[str, str]:
