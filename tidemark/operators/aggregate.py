@@ -52,7 +52,7 @@ def quantile(x: Column, q: float, interpolation: str = "linear") -> Column:
     }[interpolation].cast("double")
 
 
-def tdigest(x: Column, q: float = 0.5, accuracy: int = 1_000_000) -> Column:
+def tdigest(x: Column, q: float = 0.5, accuracy: int = 100_000) -> Column:
     """An approximate quantile in bounded memory."""
     return F.percentile_approx(x, q, accuracy).cast("double")
 

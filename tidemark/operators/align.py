@@ -91,7 +91,7 @@ def concat_rows(frames: Sequence[Frame], how: str = "outer", ignore_index: bool
     names = list(dict.fromkeys(c for f in frames for c in f.columns))
     if how == "inner":
         names = [c for c in names if all(c in f.columns for f in frames)]
-    kinds = {c: common_type([f.df.schema[c].dataType for f in frames if c in f.columns]) for c in [IDX, *names]}
+    kinds = {c: common_type([f.df.schema[c].dataType for f in frames if c == IDX or c in f.columns]) for c in [IDX, *names]}
     parts = []
     for k, f in enumerate(frames):
         values = [F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in f.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names]

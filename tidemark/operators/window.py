@@ -26,29 +26,36 @@ def _blocks(frame: Frame, block: int) -> DataFrame:
     return rows.withColumn(_BLOCK, F.floor(F.col(ROW) / block).cast("long"))
 
 
+_RUNNING: dict[str, tuple[Callable, Callable]] = {"sum": (F.sum, lambda a, b: a + b), "max": (F.max, F.greatest), "min": (F.min, F.least), "prod": (F.product, lambda a, b: a * b)}
+
+
+def running(frame: Frame, specs: Mapping[str, tuple[Column, str]], by: Sequence[str], block: int) -> DataFrame:
+    """The frame's DataFrame with name -> running aggregate of an expression, all in one pass; ``__row`` too."""
+    if by:
+        order = Window.partitionBy(*by).orderBy(POS)
+        w = order.rowsBetween(Window.unboundedPreceding, 0)
+        return frame.df.select("*", *[_RUNNING[how][0](x).over(w).alias(n) for n, (x, how) in specs.items()], (F.row_number().over(order) - 1).alias(ROW))
+    rows = _blocks(frame, block)
+    totals = rows.groupBy(F.col(_BLOCK).alias("__b")).agg(*[_RUNNING[how][0](x).alias(f"__t{k}") for k, (x, how) in enumerate(specs.values())])
+    upto = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    carry = totals.select("__b", *[_RUNNING[how][0](f"__t{k}").over(upto).alias(f"__c{k}") for k, (_, how) in enumerate(specs.values())])
+    w = Window.partitionBy(_BLOCK).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select("*", *[_RUNNING[how][0](x).over(w).alias(f"__o{k}") for k, (x, how) in enumerate(specs.values())])
+    joined = local.join(carry, F.col(_BLOCK) == F.col("__b"))
+    out = []
+    for k, (name, (_, how)) in enumerate(specs.items()):
+        before, own = F.col(f"__c{k}"), F.col(f"__o{k}")
+        out.append(F.when(before.isNull(), own).when(own.isNull(), before).otherwise(_RUNNING[how][1](before, own)).alias(name))
+    return joined.select(*frame.df.drop(ROW).columns, ROW, *out)
+
+
 def cumulative(frame: Frame, column: str, how: str, name: str | None = None, *, start: float | None = None, skip_nulls: bool = True, by: Sequence[str] = (), block: int = BLOCK) -> Frame:
     """Running sum, product, max or min, after ``start``; a null stays null and, unless skipped, so does all after it."""
     name, x = name or column, F.col(f"`{column}`")
-    kinds: dict[str, tuple[Callable, Callable]] = {"sum": (F.sum, lambda a, b: a + b), "max": (F.max, F.greatest), "min": (F.min, F.least), "prod": (F.product, lambda a, b: a * b)}
-    aggregate, combine = kinds[how]
-    keys = list(by) if by else [_BLOCK]
-    rows = frame.df if by else _blocks(frame, block)
-    w = Window.partitionBy(*keys).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
-    running = aggregate(x).over(w)
-    broken = F.max(x.isNull().cast("int")).over(w) == 1
-    if by:
-        rows = rows.withColumn("__run", running).withColumn("__broken", broken)
-    else:
-        totals = rows.groupBy(_BLOCK).agg(aggregate(x).alias("t"), F.max(x.isNull().cast("int")).alias("n"))
-        upto = Window.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # a row per block
-        carry = totals.select(F.col(_BLOCK).alias("__b"), aggregate("t").over(upto).alias("__carry"), (F.coalesce(F.max("n").over(upto), F.lit(0)) == 1).alias("__gone"))
-        rows = rows.withColumn("__own", running).withColumn("__lost", broken).join(carry, F.col(_BLOCK) == F.col("__b"))
-        both = F.when(F.col("__carry").isNull(), F.col("__own")).otherwise(combine(F.col("__carry"), F.col("__own")))
-        rows = rows.withColumn("__run", both).withColumn("__broken", F.col("__lost") | F.col("__gone"))
-    out = F.col("__run") if start is None else combine(F.lit(start), F.col("__run"))
-    out = F.when(x.isNotNull() if skip_nulls else ~F.col("__broken"), out)
-    kept = [c for c in frame.columns if c != name]
-    return Frame(rows.select(IDX, POS, *kept, out.alias(name)))
+    rows = running(frame, {"__run": (x, how), "__broken": (x.isNull().cast("int"), "max")}, by, block)
+    out = F.col("__run") if start is None else _RUNNING[how][1](F.lit(start), F.col("__run"))
+    out = F.when(x.isNotNull() if skip_nulls else F.col("__broken") == 0, out)
+    return Frame(rows.select(IDX, POS, *[c for c in frame.columns if c != name], out.alias(name)))
 
 
 def ordered(frame: Frame, columns: Mapping[str, str], forward: bool, block: int = BLOCK) -> Frame:
@@ -133,19 +140,16 @@ def rolling_apply(frame: Frame, window: int, function: Callable[[pd.DataFrame],
 
 def expanding(frame: Frame, least: int, aggregates: Mapping[str, tuple[str, str]], *, by: Sequence[str] = (), block: int = BLOCK) -> Frame:
     """name -> (column, aggregate) of all rows so far, from the ``least``-th row on; sum, mean, min, max and count."""
-    out = frame
+    specs: dict[str, tuple[Column, str]] = {}
     parts: dict[str, Column] = {}
     for name, (column, how) in aggregates.items():
+        x = F.col(f"`{column}`")
         if how in ("mean", "count"):
-            out = out.add_column(f"__n_{name}", F.col(f"`{column}`").isNotNull().cast("long"))
-            out = cumulative(out, f"__n_{name}", "sum", f"__k_{name}", by=by, block=block)
+            specs[f"__k_{name}"] = x.isNotNull().cast("long"), "sum"
         if how != "count":
-            out = cumulative(out.add_column(f"__x_{name}", F.coalesce(F.col(f"`{column}`"), F.lit(0)) if how in ("sum", "mean") else F.col(f"`{column}`")), f"__x_{name}", "sum" if how == "mean" else how, f"__r_{name}", by=by, block=block)
+            specs[f"__r_{name}"] = x, "sum" if how == "mean" else how
         parts[name] = F.col(f"__k_{name}") if how == "count" else F.try_divide(F.col(f"__r_{name}"), F.col(f"__k_{name}")) if how == "mean" else F.col(f"__r_{name}")
-    if by:
-        rows = out.df.withColumn(ROW, F.row_number().over(Window.partitionBy(*by).orderBy(POS)) - 1)
-    else:
-        rows = out.dense()
+    rows = running(frame, specs, by, block)
     return Frame(rows.where(F.col(ROW) >= least - 1).select(IDX, POS, *by, *[e.alias(n) for n, e in parts.items()]))
 
 

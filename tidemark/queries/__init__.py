@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, scalars, strings
+from . import aggregates, alignment, scalars, selection, sources, strings, times, windows
 from .base import FOUND, Query
 
 __all__ = ["aggregates", "alignment", "scalars", "selection", "sources", "strings", "times", "windows"]

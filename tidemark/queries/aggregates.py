@@ -154,10 +154,10 @@ def rows(spark, sf_dir) -> Frame:
 for _how, _sql in {"median": f"list_aggregate({NN}, 'median')", "count": f"CAST(len({NN}) AS BIGINT)", "count_na": f"CAST(4 - len({NN}) AS BIGINT)", "nunique": f"CAST(len(list_distinct({NN})) AS BIGINT)", "first": "l_quantity", "last": "l_tax", "max": f"list_max({NN})", "min": f"list_min({NN})", "mean": f"list_avg({NN})", "sum": f"list_sum({NN})", "product": f"list_aggregate({NN}, 'product')", "std": f"list_aggregate({NN}, 'stddev_samp')", "var": f"list_aggregate({NN}, 'var_samp')", "quantile": f"list_aggregate({NN}, 'quantile_cont', 0.25)"}.items():
     _round = _how in ("median", "mean", "sum", "product", "std", "var", "quantile")
 
-    @query(f"x_rows_{_how}", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {f'round({_sql}, {2 if _how == "product" else 4})' if _round else _sql} AS y FROM lineitem")
+    @query(f"x_rows_{_how}", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {f'round({_sql}, {6 if _how == "product" else 4})' if _round else _sql} AS y FROM lineitem")
     def x_rows(spark, sf_dir, how=_how, rounded=_round):
         out = a.per_row(rows(spark, sf_dir), how, "y", q=0.25)
-        return out.to_df("k").select("k.*", (F.round("y", 2 if how == "product" else 4) if rounded else c("y")).alias("y"))
+        return out.to_df("k").select("k.*", (F.round("y", 6 if how == "product" else 4) if rounded else c("y")).alias("y"))
 
 
 @query("x_columns_numeric", "SELECT c AS \"column\", round(CAST(sum(v) AS DOUBLE), 2) AS sum, round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max, count(v) AS count, count(*) - count(v) AS na, count(DISTINCT v) AS nunique, round(var_samp(v), 4) AS var, round(median(v), 6) AS median, round(quantile_cont(v, 0.25), 6) AS q FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS c, unnest(" + CELLS + ") AS v FROM lineitem) GROUP BY 1")
