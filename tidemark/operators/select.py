@@ -144,11 +144,8 @@ def fill(frame: Frame, forward: bool = True, by: Sequence[str] = ()) -> Frame:
     """Nulls take the last value before them (or the next after)."""
     from .window import ordered
 
-    side = Window.unboundedPreceding, 0
-    if not forward:
-        side = 0, Window.unboundedFollowing
-    f = F.last if forward else F.first
     if by:
-        w = Window.partitionBy(*by).orderBy(POS).rowsBetween(*side)
-        return Frame(frame.df.select(IDX, POS, *by, *[f(f"`{c}`", True).over(w).alias(c) for c in frame.columns if c not in by]))
+        # a frame that ends at the last row would be computed anew for every row
+        w = Window.partitionBy(*by).orderBy(F.col(POS).asc() if forward else F.col(POS).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        return Frame(frame.df.select(IDX, POS, *by, *[F.last(f"`{c}`", True).over(w).alias(c) for c in frame.columns if c not in by]))
     return ordered(frame, {c: c for c in frame.columns}, forward)

@@ -59,16 +59,19 @@ def cumulative(frame: Frame, column: str, how: str, name: str | None = None, *,
 
 
 def ordered(frame: Frame, columns: Mapping[str, str], forward: bool, block: int = BLOCK) -> Frame:
-    """Forward or backward fill of a whole frame."""
+    """Forward or backward fill of a whole frame.
+
+    Backward fills scan in the opposite order: a frame that ends at the last
+    row would be computed anew for every row.
+    """
     rows = _blocks(frame, block)
-    pick = F.last if forward else F.first
-    own = (Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)
-    others = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
-    w, v = Window.partitionBy(_BLOCK).orderBy(POS).rowsBetween(*own), Window.orderBy("__b").rowsBetween(*others)
+    turn = (lambda c: F.col(c).asc()) if forward else (lambda c: F.col(c).desc())
+    w = Window.partitionBy(_BLOCK).orderBy(turn(POS)).rowsBetween(Window.unboundedPreceding, 0)
+    v = Window.orderBy(turn("__b")).rowsBetween(Window.unboundedPreceding, -1)
     edge = F.max_by if forward else F.min_by
     ends = rows.groupBy(F.col(_BLOCK).alias("__b")).agg(*[edge(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col(ROW))).alias(f"__e{k}") for k, c in enumerate(columns)])
-    carry = ends.select("__b", *[pick(f"__e{k}", True).over(v).alias(f"__c{k}") for k in range(len(columns))])
-    filled = rows.select("*", *[pick(f"`{c}`", True).over(w).alias(f"__f{k}") for k, c in enumerate(columns)]).join(carry, F.col(_BLOCK) == F.col("__b"))
+    carry = ends.select("__b", *[F.last(f"__e{k}", True).over(v).alias(f"__c{k}") for k in range(len(columns))])
+    filled = rows.select("*", *[F.last(f"`{c}`", True).over(w).alias(f"__f{k}") for k, c in enumerate(columns)]).join(carry, F.col(_BLOCK) == F.col("__b"))
     return Frame(filled.select(IDX, POS, *[F.coalesce(f"__f{k}", f"__c{k}").alias(n) for k, n in enumerate(columns.values())]))
 
 
