@@ -193,9 +193,12 @@ class Series:
 class Frame:
     """Value columns with a label and an order key."""
 
-    def __init__(self, df: DataFrame) -> None:
+    def __init__(self, df: DataFrame, root: DataFrame | None = None, exprs: Mapping[str, Column] | None = None) -> None:
         self.df = df
         self.columns = [c for c in df.columns if c not in (IDX, POS, ROW)]
+        # frames that are expressions over one table combine without a join
+        self._root = df if root is None else root
+        self._exprs = dict(exprs or {c: F.col(f"`{c}`") for c in self.columns})
 
     # ------------------------------------------------------------- making
 
@@ -241,8 +244,10 @@ class Frame:
     def _with(self, df: DataFrame) -> Frame:
         return Frame(df)
 
-    def _values(self, f: Callable[[str], Column]) -> Frame:
-        return Frame(self.df.select(IDX, POS, *[f(c).alias(c) for c in self.columns]))
+    def _values(self, f: Callable[[Column, str], Column]) -> Frame:
+        """A function of each column's expression and name."""
+        out = {c: f(e, c) for c, e in self._exprs.items()}
+        return Frame(self._root.select(IDX, POS, *[e.alias(c) for c, e in out.items()]), self._root, out)
 
     def dense(self) -> DataFrame:
         """The frame's DataFrame with ``__row``, the position 0..n-1."""
@@ -347,11 +352,12 @@ class Frame:
         """Column by column: with a scalar, a series of this frame, or a frame (by position)."""
         if isinstance(other, Series):
             if other.frame.df is self.df:
-                return self._values(lambda c: op(F.col(f"`{c}`"), other.expr, c))
+                return Frame(self.df)._values(lambda e, c: op(e, other.expr, c))
             other = other.to_frame("__other")
         if isinstance(other, Frame):
-            if other.df is self.df:
-                return self._values(lambda c: op(F.col(f"`{c}`"), F.col(f"`{c}`"), c))
+            if other._root is self._root and len(other.columns) == len(self.columns):
+                pairs = dict(zip(self.columns, other._exprs.values()))
+                return self._values(lambda e, c: op(e, pairs[c], c))
             from .operators.align import paste
 
             names = {c: f"__{k}" for k, c in enumerate(other.columns)}
@@ -360,7 +366,7 @@ class Frame:
             if len(right) != len(self.columns):
                 raise ValueError("the frames differ in their number of columns")
             return Frame(both.df.select(IDX, POS, *[op(F.col(f"`{c}`"), F.col(r), c).alias(c) for c, r in zip(self.columns, right)]))
-        return self._values(lambda c: op(F.col(f"`{c}`"), F.lit(other), c))
+        return self._values(lambda e, c: op(e, F.lit(other), c))
 
     def _is(self, name: str, kind: type) -> bool:
         return isinstance(self.df.schema[name].dataType, kind)
@@ -394,16 +400,16 @@ class Frame:
         return self._binary(other, lambda a, b, _: maths.bit_xor(a, b))
 
     def __neg__(self):
-        return self._values(lambda c: -F.col(f"`{c}`"))
+        return self._values(lambda e, _: -e)
 
     def __invert__(self):
-        return self._values(lambda c: ~F.col(f"`{c}`") if self._is(c, T.BooleanType) else F.bitwise_not(f"`{c}`"))
+        return self._values(lambda e, c: ~e if self._is(c, T.BooleanType) else F.bitwise_not(e))
 
     def compare(self, op: str, other: object) -> Frame:
         return self._binary(other, lambda a, b, c: nulls.compare(a, op, b, self._is(c, T.FractionalType)))
 
     def unary(self, function: Callable[[Column], Column]) -> Frame:
-        return self._values(lambda c: function(F.col(f"`{c}`")))
+        return self._values(lambda e, _: function(e))
 
     # ------------------------------------------------------------------ results
 
