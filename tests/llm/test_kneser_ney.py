@@ -82,6 +82,16 @@ def test_scores_against_brute_force(spark, order):
     assert Counter((r.id, r.lang, r.n, round(r.nll, 1)) for r in got) == want
 
 
+def test_default_is_a_model_of_five_characters(spark):
+    rows = corpus()
+    trusted = spark.createDataFrame([(r[0],) for r in rows if r[3] == "good"], "id long")
+    got = kn.score(spark.createDataFrame(rows, DOCS), trusted).collect()
+    held = {r.id for r in got if r.held}
+    model = Brute([r[1] for r in rows if r[3] == "good" and r[0] not in held], 5)
+    want = {r[0]: -sum(math.log(model.p(g)) for g in grams(r[1], 5)) for r in rows}
+    assert all(r.nll == pytest.approx(want[r.id], abs=0.01) for r in got)
+
+
 def test_probabilities_sum_to_one():
     rows = corpus(40)
     model = Brute([r[1] for r in rows], 3)

@@ -47,7 +47,7 @@ from pyspark.sql.window import Window
 from .arrow import open_parcels, parcels
 from .store import Workspace
 
-ORDER = 4
+ORDER = 5
 BLOCK = 16 << 20
 QUANTILE = 0.99
 MARGIN = 0.15
