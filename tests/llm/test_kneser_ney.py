@@ -113,6 +113,15 @@ def test_judge_quantiles(spark):
     assert got[300].kept and got[300].threshold is None
 
 
+def test_held_out_documents_decide_the_threshold(spark):
+    rows = [(i, 0, "en" if i < 4000 else "de", i % 2 == 0, 10**8, (1 + i % 100 / 1000) * 1e8) for i in range(4016)]
+    scored = spark.createDataFrame(rows, "id long, hash long, lang string, held boolean, n long, nll double")
+    got = {r.id: r for r in kn.judge(scored).collect()}
+    assert got[0].threshold == pytest.approx(1.098, abs=5e-3)
+    own = np.array([1 + i % 100 / 1000 for i in range(4000, 4016, 2)])
+    assert got[4000].threshold == pytest.approx(own.max() + kn.SURE * own.std(ddof=1) / 8**0.5, abs=2e-3)
+
+
 def test_junk_goes_and_columns_stay(spark):
     rows = corpus(400) + [(None, "$#%&" * 50, "en", "bad", 0), (None, "etaoin shrdlu " * 9, "en", "good", 0)]
     docs = spark.createDataFrame(rows, DOCS)

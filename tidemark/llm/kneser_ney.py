@@ -20,9 +20,11 @@ Scale
 Threshold
     For each language the ``quantile`` of held-out trusted documents' mean
     negative log-probability, from counts in bins of a thousandth of a nat (the
-    same however rows are spread), plus ``margin`` nats and ``SPREAD / sqrt(n)``
-    for a document of n characters, since the mean of a short text varies.  A
-    document is rejected above it.  A language without held-out trusted documents rejects nothing.
+    same however rows are spread), plus ``SPREAD / sqrt(n)`` for a document of n
+    characters, since the mean of a short text varies.  A few held-out
+    documents leave a quantile uncertain, so ``SURE`` times their deviation over
+    the root of their number is added, unless a caller gives a ``margin`` in
+    nats.  A document is rejected above it.  A language without held-out trusted documents rejects nothing.
 
 Defined results
     A null text is empty; an empty text is scored by its end mark.  NUL counts
@@ -50,9 +52,10 @@ from .store import Workspace
 ORDER = 5
 BLOCK = 16 << 20
 QUANTILE = 0.99
-MARGIN = 0.15
 #: Twice about the deviation of one character's negative log-probability.
 SPREAD = 4.0
+#: Deviations / sqrt(documents) from a normal 0.99 quantile's estimate to its one-sided 95 % bound.
+SURE = 3.2
 #: One in so many trusted documents is held out for the thresholds.
 HELD_OUT = 5
 START, END = "\x02", "\x03"
@@ -250,18 +253,22 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     return scored
 
 
-def judge(scored: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def judge(scored: DataFrame, *, quantile: float = QUANTILE, margin: float | None = None) -> DataFrame:
     """``scored`` with threshold (of the mean, in nats, for a text of its length) and kept."""
     mean, slack = F.col("nll") / F.col("n"), F.lit(SPREAD) / F.sqrt("n")
     bins = scored.where("held").groupBy("lang", F.ceil((mean - slack) * BINS).alias("bin")).agg(F.count("*").alias("k"))
     upto = Window.partitionBy("lang").orderBy("bin")
-    ranked = bins.withColumns({"upto": F.sum("k").over(upto), "all": F.sum("k").over(Window.partitionBy("lang"))})
-    cuts = ranked.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg((F.min("bin") / BINS + margin).alias("threshold")).withColumnRenamed("lang", "of")
+    whole = Window.partitionBy("lang")
+    sums = {"upto": F.sum("k").over(upto), "all": F.sum("k").over(whole), "one": F.sum(F.col("k") * F.col("bin")).over(whole), "two": F.sum(F.col("k") * F.col("bin") * F.col("bin")).over(whole)}
+    ranked = bins.withColumns(sums)
+    variance = F.greatest(F.col("two") - F.col("one") * F.col("one") / F.col("all"), F.lit(0.0)) / F.greatest(F.col("all") - 1, F.lit(1))
+    above = F.max(SURE * F.sqrt(variance / F.col("all")) / BINS) if margin is None else F.lit(margin)
+    cuts = ranked.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang").agg((F.min("bin") / BINS + above).alias("threshold")).withColumnRenamed("lang", "of")
     # one row a language against rows without text; adaptive execution sends it to all, or splits the hot language
     return scored.join(cuts, scored["lang"].eqNullSafe(cuts["of"]), "left").drop("of").withColumn("threshold", F.col("threshold") + slack).withColumn("kept", F.coalesce(mean <= F.col("threshold"), F.lit(True)))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, order: int = ORDER, quantile: float = QUANTILE, margin: float | None = None) -> DataFrame:
     """id_col, lang_col, n_chars, perplexity, threshold (as a perplexity) and kept of every row."""
     found = judge(score(docs, trusted_ids(labels, id_col), id_col, text_col, lang_col, order=order), quantile=quantile, margin=margin)
     return found.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), F.greatest(F.col("n") - 1, F.lit(0)).alias("n_chars"), F.exp(F.col("nll") / F.col("n")).alias("perplexity"), F.exp("threshold").alias("threshold"), "kept")
