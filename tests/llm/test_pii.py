@@ -67,6 +67,14 @@ def test_labelers_and_classifier_add_true_spans_only():
         assert pii.all_spans(clean, model)[1] == [], clean
 
 
+@pytest.mark.parametrize("own", ["jane {at} example.com", "jane(AT)example.org", "jane [AT] example.com", "jane at example.com", "jane{At}mail.example.com", "jane (at) example (dot) com"])
+def test_every_written_out_at_is_proposed(own):
+    found = pii.candidates(f"Reach {own}, we reply")
+    assert [(c.kind, c.start, c.end) for c in found] == [("email", 6, 6 + len(own))]
+    assert pii.candidates(f"Reach {own}, says the anecdote") == found
+    assert pii.candidates("An anecdote to look at home. It was told at length. In short.") == []
+
+
 def test_estimation_prefers_reliable_labelers():
     counts = Counter({"card:1,1,1,0,1:16": 900, "card:0,-1,-1,0,-1:16": 600, "card:0,1,1,0,1:16": 40, "card:0,-1,1,0,-1:16": 40})
     p = pii.posteriors(counts)

@@ -94,7 +94,16 @@ def base_spans(text: str) -> list[Span]:
 
 # ---------------------------------------------------------------- candidates
 
-_WORDED_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
+_DOT = r"\(dot\)|\[dot\]|\{dot\}| dot "
+#: After a bare " at " a full stop with a space beside it is the end of a sentence.
+_WORDED_EMAIL = re.compile(
+    r"[A-Za-z0-9._%+-]{1,64} ?(?:"
+    rf"(?:\(at\)|\[at\]|\{{at\}}) ?[A-Za-z0-9-]{{1,63}}(?: ?(?:{_DOT}|\.) ?[A-Za-z0-9-]{{1,63}}){{1,4}}"
+    rf"| at (?: )?[A-Za-z0-9-]{{1,63}}(?:(?: ?(?:{_DOT}) ?|\.)[A-Za-z0-9-]{{1,63}}){{1,4}})",
+    re.I,
+)
+#: Every match of the pattern above holds one.
+_AT = re.compile(r"\(at\)|\[at\]|\{at\}| at ", re.I)
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 _LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}([ .\-/]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:(?:\+|00)[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .\-/])[0-9]{3,4}[ .\-/][0-9]{3,4}(?![0-9])")
@@ -154,8 +163,7 @@ def candidates(text: str) -> list[Candidate]:
     spans = base_spans(text)
     out = [_candidate(text, k, a, b, True) for k, a, b in spans]
     loose: list[Span] = []
-    folded = text.lower() if "dot" in text or "DOT" in text or "Dot" in text or "(at)" in text or "[at]" in text else ""
-    if "dot" in folded or "(at)" in folded or "[at]" in folded:
+    if _AT.search(text):
         loose += [("email", *m.span()) for m in _WORDED_EMAIL.finditer(text)]
     if text.count(":") >= 7:
         loose += [("ip", *m.span()) for m in _IPV6.finditer(text)]
