@@ -70,3 +70,28 @@ def test_quick_engine_equals_the_full_one():
         assert split(text) == full(text)
     odd = r"\p{L}++|\[|."
     assert splitter(odd)("ab[c") == regex.compile(odd).findall("ab[c")
+
+
+def test_a_small_shelf_starts_afresh_and_ids_stay_the_same(spark):
+    from tidemark.llm.bpe import ENTRY, Shelf
+
+    rng = random.Random(4)
+    words = [f" w{k}é" for k in range(400)]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    for entries in (1, 7, 90, 1000):
+        own = Codec(RANKS, PATTERN)
+        own.shelf = Shelf(entries * ENTRY)
+        for k in range(0, 300, 10):
+            assert own.encode(texts[k : k + 10]) == [ORACLE.encode_ordinary(t) for t in texts[k : k + 10]]
+        assert own.shelf.n <= entries
+
+
+def test_pre_tokens_of_one_hash_are_told_apart():
+    import numpy as np
+
+    from tidemark.llm.bpe import Shelf
+
+    shelf, one = Shelf(1 << 12), np.zeros(1, dtype=np.uint64)
+    pack = lambda t: (np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]))
+    shelf.add(one, *pack(b"abc"), np.array([5, 6], dtype=np.int32), np.array([0, 2]))
+    assert shelf.find(one, *pack(b"abc")).tolist() == [0] and shelf.find(one, *pack(b"abd")).tolist() == [-1] and shelf.find(one, *pack(b"ab")).tolist() == [-1]

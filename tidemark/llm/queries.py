@@ -118,10 +118,11 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import decode, digests, encode
+    from .bpe import DIGESTS, digest_columns, transcribe
 
-    rule = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return digests(decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *rule).select("doc_id", "ids"), *rule))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return transcribe(docs, path, public_tokenizers.PATTERN, digest_columns, DIGESTS).drop("text")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
