@@ -1,3 +1,4 @@
+import itertools
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -7,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm.packing import best_fit_sequences, bins, bound, cut, fillings, library_encoder, pack
+from tidemark.llm.packing import WASTE, best_fit, best_fit_sequences, bins, bound, completed, cut, fillings, library_encoder, pack
 from tidemark.llm.queries import op3_packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,7 +62,78 @@ def test_fillings_are_undominated():
     for pattern in fillings(9, counts, 16, 20):
         left = counts - np.bincount(pattern, minlength=17)
         room = 16 - sum(pattern)
-        assert not any(left[n] for n in range(1, room + 1)) or len(pattern) == 5
+        assert not any(left[n] for n in range(1, room + 1))
+
+
+def every_filling(largest, counts, capacity):
+    """All fillings around ``largest`` to which no piece left can be added, by plain recursion."""
+    found = set()
+
+    def go(pattern, left, top):
+        room = capacity - sum(pattern)
+        if not any(left[n] for n in range(1, room + 1)):
+            found.add(tuple(pattern))
+        for n in range(min(top, room), 0, -1):
+            if left[n]:
+                left[n] -= 1
+                go([*pattern, n], left, n)
+                left[n] += 1
+
+    left = counts.copy()
+    left[largest] -= 1
+    go([largest], left, largest)
+    return found
+
+
+def lays(a, b):
+    """Whether b's pieces after the first fit into a's, by trying every assignment."""
+    return any(all(sum(n for n, to in zip(b[1:], place) if to == k) <= a[1:][k] for k in range(len(a) - 1)) for place in itertools.product(range(len(a) - 1), repeat=len(b) - 1))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_fillings_are_all_that_nothing_dominates(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 13, rng.integers(2, 9)).tolist()
+    counts, top = np.bincount(sizes, minlength=17), max(sizes)
+    everything, kept = every_filling(top, counts, 16), fillings(top, counts, 16)
+    assert set(kept) <= everything and len(kept) == len(set(kept))
+    for pattern in everything:
+        assert any(other == pattern or lays(other, pattern) for other in kept)
+    assert not any(a != b and lays(a, b) for a in kept for b in kept)
+    assert set(fillings(top, counts, 16, 3)) <= everything
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_the_unbounded_search_is_optimal(seed):
+    rng = np.random.default_rng(100 + seed)
+    sizes = rng.integers(3, 15, rng.integers(1, 11)).tolist()
+    counts = np.bincount(sizes, minlength=21)
+    solution = pack(counts, 20, nodes=None)
+    assert whole(solution, counts, 20) and bins(solution) == optimum(sizes, 20)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_best_fit_equals_the_piecewise_rule(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 21, 60).tolist()
+    rooms = []
+    for n in sorted(sizes, reverse=True):
+        at = min((k for k, r in enumerate(rooms) if r >= n), key=lambda k: rooms[k], default=None)
+        if at is None:
+            rooms.append(20 - n)
+        else:
+            rooms[at] -= n
+    counts = np.bincount(sizes, minlength=21)
+    solution = best_fit(counts, 20)
+    assert whole(solution, counts, 20) and sorted(20 - sum(p) for p, times in solution for _ in range(times)) == sorted(rooms)
+
+
+@pytest.mark.parametrize("low, high", [(5, 40), (20, 120), (200, 500)])
+def test_completion_alone_is_not_above_best_fit(low, high):
+    counts = np.bincount(np.random.default_rng(low).integers(low, high + 1, 50_000), minlength=1025)
+    alone = min((completed(counts, 1024, 1024 * w // 256) for w in WASTE), key=bins)
+    assert whole(alone, counts, 1024) and bound(counts, 1024) <= bins(alone) <= bins(best_fit(counts, 1024))
+    assert bins(pack(counts, 1024, nodes=50)) <= bins(alone)
 
 
 def test_cut():

@@ -8,14 +8,19 @@ Packing
     How pieces are packed depends only on how many there are of each length, and
     there are at most ``capacity`` lengths.  So the solver works on that
     histogram, whatever the number of documents.  Bin completion: take the
-    largest length left, enumerate the undominated fillings around it (a filling
-    is dominated if one of its pieces can be exchanged for a longer piece, or
-    group of pieces, that still fits), and use the chosen filling as often as
-    the counts allow.  Incumbents are best-fit decreasing and completion without
-    backtracking; depth-first branch-and-bound over fillings prunes a branch when its waste, with a lower
-    bound on the waste to come, can't beat the incumbent, and stops when the
-    incumbent meets the bound ``ceil(total / capacity)`` or a stated number of
-    nodes was visited.
+    largest length left, enumerate the fillings around it to which no piece left
+    can be added, of any number of pieces, drop those that another dominates (its
+    pieces can be laid into the other's, one or several into one), and use the
+    chosen one so many times.  Sums that pieces left can make are bits of an
+    integer, so every step of the enumeration leads to a filling.  Incumbents are
+    best-fit decreasing and completion without backtracking, tried with several
+    allowances of waste; depth-first
+    branch-and-bound over fillings and repetitions leaves a branch when its
+    sequences and the bound on the rest can't beat the incumbent, and stops when
+    the incumbent meets the bound.  With ``nodes=None`` it tries all undominated
+    fillings and all repetitions, so its result is optimal; the default visits
+    ``NODES`` nodes, with the ``BRANCH`` fullest fillings and three repetitions at
+    each, and then takes the incumbent.  All pieces are placed either way.
 
 Assignment
     The solution is a list of (pattern, repetitions), at most a few thousand
@@ -35,7 +40,10 @@ from __future__ import annotations
 import base64
 import os
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +55,13 @@ from pyspark.sql.window import Window
 from .store import Workspace
 
 #: Search nodes of the branch-and-bound before the incumbent is taken.
-NODES = 4_000
-#: Fillings tried at a node, the fullest first.
+NODES = 2_000
+#: Fillings tried at a node of a bounded search, the fullest first.
 BRANCH = 6
+#: 256ths of a sequence that completion may waste while longer pieces are left.
+WASTE = (0, 2, 4, 8, 12, 16, 24, 32, 48, 64)
+#: Pieces up to which a filling's dominance is searched with backtracking; beyond, best fit decides.
+SEARCHED = 12
 #: Pieces that one task numbers.
 BUCKET = 1_000_000
 
@@ -59,82 +71,177 @@ Pattern = tuple[int, ...]
 # ------------------------------------------------------------------ solver
 
 
-def fillings(largest: int, counts: np.ndarray, capacity: int, limit: int, depth: int = 4) -> list[Pattern]:
-    """Undominated fillings around ``largest``, the fullest first, ``limit`` at most.
+def _sums(sizes: Sequence[int], left: Sequence[int], room: int) -> list[int]:
+    """For each k, the sums up to ``room`` that pieces of the first k sizes can make, as bits."""
+    mask, now = (1 << room + 1) - 1, 1
+    out = [now]
+    for n, count in zip(sizes, left):
+        count, step = min(count, room // n), 1
+        while count > 0:
+            now |= now << n * min(step, count) & mask
+            count -= step
+            step *= 2
+        out.append(now)
+    return out
+
+
+def _made(s: int, k: int, sizes: Sequence[int], left: Sequence[int], sums: Sequence[int]) -> Iterator[list[tuple[int, int]]]:
+    """The (size, times) that make the sum ``s`` from the first ``k`` sizes, long pieces first."""
+    if s == 0:
+        yield []
+        return
+    for j in range(bisect_right(sizes, s, 0, k) - 1, -1, -1):
+        if not sums[j + 1] >> s & 1:
+            return
+        n = sizes[j]
+        for times in range(min(left[j], s // n), 0, -1):
+            if sums[j] >> s - times * n & 1:
+                for rest in _made(s - times * n, j, sizes, left, sums):
+                    yield [(n, times), *rest]
+
+
+def dominates(a: Pattern, b: Pattern) -> bool:
+    """Whether the pieces of ``b`` can be laid into those of ``a``, one or several into one."""
+    mine, theirs = Counter(a), Counter(b)
+    rooms, small = sorted((mine - theirs).elements()), sorted((theirs - mine).elements(), reverse=True)
+    if not small or sum(small) > sum(rooms):
+        return not small
+
+    def lay(k: int, rooms: list[int]) -> bool:
+        if k == len(small):
+            return True
+        tried = set()
+        for i, room in enumerate(rooms):  # the tightest first
+            if room >= small[k] and room not in tried:
+                tried.add(room)
+                if lay(k + 1, sorted([*rooms[:i], room - small[k], *rooms[i + 1 :]])):
+                    return True
+                if len(small) > SEARCHED:
+                    return False
+        return False
+
+    return lay(0, rooms) if len(small) <= 500 else False
+
+
+def fillings(largest: int, counts: np.ndarray, capacity: int, limit: int | None = None) -> list[Pattern]:
+    """Undominated fillings around ``largest``, the fullest first; ``limit`` at most, or all.
 
     ``counts[n]`` is how many pieces of length n are left, ``largest`` included.
-    Pieces are added from the longest down; each added piece is the longest that
-    leaves room for the wanted rest, so no piece of a filling can be exchanged
-    for a longer one that fits.
+    No piece left fits into the room that a filling leaves.
     """
-    sizes = np.flatnonzero(counts)
-    found: dict[Pattern, int] = {}
-    seen = 0
-
-    def add(pattern: list[int], room: int, top: int, used: dict[int, int], left: int) -> None:
-        nonlocal seen
-        seen += 1
-        at = int(np.searchsorted(sizes, min(room, top), side="right")) - 1
-        best = True
-        tried = 0
-        while at >= 0 and tried < (limit if left > 1 else 1) and seen < 64 * limit:
-            n = int(sizes[at])
-            if counts[n] - used.get(n, 0) > 0:
-                used[n] = used.get(n, 0) + 1
-                best = False
-                tried += 1
-                pattern.append(n)
-                if left > 1 and room > n:
-                    add(pattern, room - n, n, used, left - 1)
-                else:
-                    found[tuple(pattern)] = room - n
-                pattern.pop()
-                used[n] -= 1
-                if room == n:
-                    break
-            at -= 1
-        if best:
-            found[tuple(pattern)] = room
-
-    add([largest], capacity - largest, largest, {largest: 1}, depth)
-    ranked = sorted(found.items(), key=lambda x: (x[1], len(x[0]), tuple(-n for n in x[0])))
-    return [pattern for pattern, _ in ranked[:limit]]
+    room = capacity - largest
+    sizes = np.flatnonzero(counts[: min(room, largest) + 1]).tolist()
+    left = [int(counts[n]) - (n == largest) for n in sizes]
+    sums = _sums(sizes, left, room)
+    found: list[Pattern] = []
+    for s in range(room, -1, -1):
+        if limit is not None and len(found) >= limit:
+            break
+        if not sums[-1] >> s & 1:
+            continue
+        for some in _made(s, len(sizes), sizes, left, sums):
+            used = dict(some)
+            if any(n <= room - s and left[k] > used.get(n, 0) for k, n in enumerate(sizes[: bisect_right(sizes, room - s)])):
+                continue
+            found.append((largest, *chain.from_iterable([n] * times for n, times in some)))
+            if limit is not None and len(found) >= limit:
+                break
+    kept: list[Pattern] = []
+    for pattern in sorted(found, key=lambda p: (-sum(p), len(p), tuple(-n for n in p))):  # none dominates an earlier one
+        if not any(dominates(other, pattern) for other in kept):
+            kept.append(pattern)
+    return kept
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
-    """Best-fit decreasing on a histogram: fullest greedy bins, each used as often as counts allow."""
+    """Best-fit decreasing: every piece, the longest first, goes to the fullest bin that has room."""
+    rooms: dict[int, list[tuple[Pattern, int]]] = {}  # room -> (pattern, bins)
+    done: list[tuple[Pattern, int]] = []
+    for n in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[n])
+        for room in sorted(r for r in rooms if r >= n):
+            if not left:
+                break
+            each = room // n  # the fullest bin stays the fullest while the length fits
+            groups, rooms[room] = rooms[room], []
+            for pattern, bins_ in groups:
+                whole = min(bins_, left // each)
+                rest = min(left - whole * each, each - 1) if whole < bins_ else 0
+                left -= whole * each + rest
+                for more, number in ((each, whole), (rest, int(rest > 0)), (0, bins_ - whole - (rest > 0))):
+                    if number:
+                        rooms.setdefault(room - more * n, []).append((pattern + (n,) * more, number))
+            if not rooms[room]:
+                del rooms[room]
+        each = capacity // n
+        for more, number in ((each, left // each), (left % each, int(left % each > 0))):
+            if number:
+                rooms.setdefault(capacity - more * n, []).append(((n,) * more, number))
+        done += rooms.pop(0, [])
+    return done + [group for groups in rooms.values() for group in groups]
+
+
+def _few(sizes: Sequence[int], left: Sequence[int], room: int, waste: int, times: int) -> list[int] | None:
+    """The fewest pieces that leave at most ``waste`` of the room, of sizes that last so many times over."""
+    sums, fits, mask = [1], [], (1 << room + 1) - 1
+    while True:
+        fits.append([n for n, count in zip(sizes, left) if count >= len(sums) * times])
+        now = 0
+        for n in fits[-1]:
+            now |= sums[-1] << n & mask
+        if not now:
+            return None
+        sums.append(now)
+        s = now.bit_length() - 1
+        if room - s <= waste:
+            out = []
+            for before, fit in zip(sums[-2::-1], fits[::-1]):
+                out.append(next(n for n in reversed(fit) if n <= s and before >> s - n & 1))
+                s -= out[-1]
+            return sorted(out, reverse=True)
+
+
+def chosen(left: np.ndarray, capacity: int, waste: int = 0) -> Pattern:
+    """Completion's filling around the largest length left.
+
+    The one of fewest pieces that wastes at most ``waste``, or no more than the
+    fullest, and of those one that can be used often.  A little waste early keeps
+    short pieces for those that need them.
+    """
+    present = np.flatnonzero(left)
+    largest = int(present[-1])
+    room = capacity - largest
+    sizes = present[: np.searchsorted(present, min(room, largest), side="right")].tolist()
+    own = [int(left[n]) - (n == largest) for n in sizes]
+    sums = _sums(sizes, own, room)
+    least = room - (sums[-1].bit_length() - 1)
+    # no room is wasted that the shortest piece left could fill
+    allowed = max(least, min([waste, *(n - 1 for n, k in zip(sizes[:1], own) if k)]))
+    if room <= allowed:
+        return (largest,)
+    tries = int(left[largest])
+    while tries:
+        if some := _few(sizes, own, room, allowed, tries):
+            return (largest, *some)
+        tries //= 2
+    made = next(_made(room - least, len(sizes), sizes, own, sums))
+    return (largest, *chain.from_iterable([n] * times for n, times in made))
+
+
+def completed(counts: np.ndarray, capacity: int, waste: int = 0) -> list[tuple[Pattern, int]]:
+    """Bin completion without backtracking: ``chosen`` as often as the counts allow."""
     left = counts.copy()
     out: list[tuple[Pattern, int]] = []
-    while len(sizes := np.flatnonzero(left)):
-        pattern, room = [], capacity
-        used: dict[int, int] = {}
-        for n in sizes[::-1].tolist():
-            while n <= room and left[n] - used.get(n, 0) > 0:
-                pattern.append(n)
-                used[n] = used.get(n, 0) + 1
-                room -= n
-            if not room:
-                break
-        times = min(int(left[n]) // k for n, k in used.items())
-        for n, k in used.items():
+    while left.any():
+        pattern = chosen(left, capacity, waste)
+        out.append((pattern, times := _times(pattern, left)))
+        for n, k in Counter(pattern).items():
             left[n] -= k * times
-        out.append((tuple(pattern), times))
     return out
 
 
-def completed(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
-    """Bin completion without backtracking: of the fullest fillings, the one usable most often."""
-    left = counts.copy()
-    out: list[tuple[Pattern, int]] = []
-    while len(sizes := np.flatnonzero(left)):
-        options = fillings(int(sizes[-1]), left, capacity, 2 * BRANCH)
-        full = sum(options[0])
-        pattern = max((p for p in options if sum(p) == full), key=lambda p: min(left[n] // p.count(n) for n in p))
-        times = min(int(left[n]) // pattern.count(n) for n in pattern)
-        for n in set(pattern):
-            left[n] -= pattern.count(n) * times
-        out.append((pattern, times))
-    return out
+def _times(pattern: Pattern, left: np.ndarray) -> int:
+    return min(int(left[n]) // k for n, k in Counter(pattern).items())
 
 
 def bins(solution: Sequence[tuple[Pattern, int]]) -> int:
@@ -143,61 +250,63 @@ def bins(solution: Sequence[tuple[Pattern, int]]) -> int:
 
 def bound(counts: np.ndarray, capacity: int) -> int:
     """The larger of the volume bound and the bounds over long pieces (Martello and Toth)."""
-    lengths = np.arange(len(counts))
-    best = -(-int((lengths * counts).sum()) // capacity)
-    for k in range(0, capacity // 2 + 1):
-        big = int(counts[capacity - k + 1 :].sum())
-        middle = int(counts[capacity // 2 + 1 : capacity - k + 1].sum())
-        free = capacity * middle - int((lengths * counts)[capacity // 2 + 1 : capacity - k + 1].sum())
-        small = int((lengths * counts)[max(k, 1) : capacity // 2 + 1].sum())
-        best = max(best, big + middle + max(0, -(-(small - free) // capacity)))
-    return best
-
-
-def pack(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[Pattern, int]]:
-    """(pattern, repetitions) that hold every piece of the histogram ``counts[length]``."""
-    total = int((np.arange(len(counts)) * counts).sum())
+    half = capacity // 2
+    number = np.concatenate([[0], np.cumsum(counts)])  # of pieces shorter than n
+    volume = np.concatenate([[0], np.cumsum(np.arange(len(counts)) * counts)])
+    k = np.arange(half + 1)
+    big = number[-1] - number[capacity - k + 1]
+    middle = number[capacity - k + 1] - number[half + 1]
+    free = capacity * middle - (volume[capacity - k + 1] - volume[half + 1])
+    small = volume[half + 1] - volume[np.maximum(k, 1)]
+    least = big + middle + np.maximum(0, -(-(small - free) // capacity))
+    return max(-(-int(volume[-1]) // capacity), int(least.max()))
+
+
+def pack(counts: np.ndarray, capacity: int, nodes: int | None = NODES) -> list[tuple[Pattern, int]]:
+    """(pattern, repetitions) that hold every piece of the histogram ``counts[length]``.
+
+    Optimal with ``nodes=None``, which takes exponential time.
+    """
     least = bound(counts, capacity)
     incumbent = best_fit(counts, capacity)
+    waste = 0
+    for share in WASTE:
+        own = completed(counts, capacity, capacity * share // 256) if bins(incumbent) > least else incumbent
+        if bins(own) < bins(incumbent):
+            incumbent, waste = own, capacity * share // 256
+    visited = 0
+
+    def steps(left: np.ndarray, count: int) -> list[tuple[Pattern, int]]:
+        """The fillings and repetitions to try, the last first; none where the bound can't beat the incumbent."""
+        nonlocal visited
+        if count + bound(left, capacity) >= bins(incumbent) or nodes is not None and visited >= nodes:
+            return []
+        visited += 1
+        out = []
+        options = fillings(int(np.flatnonzero(left)[-1]), left, capacity, None if nodes is None else BRANCH)
+        for pattern in options if nodes is None else dict.fromkeys([chosen(left, capacity, waste), *options]):
+            most = _times(pattern, left)
+            out += [(pattern, t) for t in (range(most, 0, -1) if nodes is None else dict.fromkeys((most, max(1, most // 2), 1)))]
+        return out[::-1]
+
     if bins(incumbent) > least:
-        incumbent = min(incumbent, completed(counts, capacity), key=bins)
-    left_nodes = nodes
-
-    def descend(left: np.ndarray, done: list[tuple[Pattern, int]], count: int, waste: int) -> None:
-        """Depth-first, without recursion per bin: a step uses a pattern as often as it can."""
-        nonlocal incumbent, left_nodes
-        trail: list[tuple[list[Pattern], np.ndarray, int, int, int]] = []
-        state = (left, count, waste)
-        while True:
-            left, count, waste = state
-            sizes = np.flatnonzero(left)
-            options: list[Pattern] = []
-            if not len(sizes):
-                if count < bins(incumbent):
-                    incumbent = list(done)
-                if bins(incumbent) <= least:
-                    return
-            elif left_nodes > 0 and waste <= (bins(incumbent) - 1) * capacity - total:
-                left_nodes -= 1
-                options = fillings(int(sizes[-1]), left, capacity, BRANCH)
-            trail.append((options[::-1], left, count, waste, len(done)))
-            while trail and not trail[-1][0]:
+        done: list[tuple[Pattern, int]] = []
+        trail = [(steps(counts, 0), counts, 0)]  # depth-first, without recursion per bin
+        while trail and bins(incumbent) > least:
+            options, left, count = trail[-1]
+            del done[len(trail) - 1 :]
+            if not options:
                 trail.pop()
-            if not trail or left_nodes <= 0 and not options:
-                return
-            options, left, count, waste, depth = trail[-1]
-            pattern = options.pop()
-            del done[depth:]
-            used = np.bincount(pattern, minlength=len(left))
-            mine = np.flatnonzero(used)
-            times = int((left[mine] // used[mine]).min())
-            done.append((pattern, times))
+                continue
+            pattern, times = options.pop()
             after = left.copy()
-            after[mine] -= used[mine] * times
-            state = (after, count + times, waste + times * (capacity - sum(pattern)))
-
-    if bins(incumbent) > least:
-        descend(counts.copy(), [], 0, 0)
+            for n, k in Counter(pattern).items():
+                after[n] -= k * times
+            done.append((pattern, times))
+            if after.any():
+                trail.append((steps(after, count + times), after, count + times))
+            elif count + times < bins(incumbent):
+                incumbent = list(done)
     return incumbent
 
 
@@ -298,7 +407,7 @@ def placements(solution: Sequence[tuple[Pattern, int]]) -> list[tuple[int, int,
     return out
 
 
-def best_fit_sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 1024, end_id: int = 2, nodes: int = NODES, with_ids: bool = False) -> DataFrame:
+def best_fit_sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 1024, end_id: int = 2, nodes: int | None = NODES, with_ids: bool = False) -> DataFrame:
     """id_col, piece, start, length, ids_crc32, sequence_id, offset (and ids) of every piece."""
     spark = docs.sparkSession
     space = Workspace(spark)
