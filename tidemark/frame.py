@@ -14,46 +14,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .functions import maths, nulls
+from .order import PART, Key, Ranges, with_position
 
 IDX, POS, ROW = "__idx", "__pos", "__row"
-#: Rows that one task numbers or scans in order.
-BLOCK = 1_000_000
-
-
-def with_position(df: DataFrame, order: Sequence[str | Column], name: str = ROW, parts: int | None = None) -> DataFrame:
-    """``df`` with each row's dense position in a total order.
-
-    The order's first key is cut at approximate quantiles, collected once (some
-    hundred values), rows are numbered within their range, and the ranges'
-    counts are added up: no task sees more than a range.  A key of one value is
-    one range.
-    """
-    keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    first = df.select(keys[0].alias("k"))
-    kind = first.schema["k"].dataType
-    while isinstance(kind, T.StructType):
-        first = first.select(F.col("k")[kind[0].name].alias("k"))
-        kind = kind[0].dataType
-    number = {T.TimestampNTZType: lambda c: F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), c), T.TimestampType: F.unix_micros, T.DateType: F.unix_date}.get(type(kind))
-    if number is None and not isinstance(kind, T.NumericType):
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)) - 1)  # strings: no numeric ranges
-    parts = parts or max(1, df.sparkSession._jsc.sc().defaultParallelism())
-    cuts = first.select(F.percentile_approx((number(F.col("k")) if number else F.col("k")).cast("double"), [k / parts for k in range(1, parts)], 1000)).first()[0] if parts > 1 else []
-    value = keys[0]
-    inner = df.select(keys[0].alias("k")).schema["k"].dataType
-    while isinstance(inner, T.StructType):
-        value, inner = value[inner[0].name], inner[0].dataType
-    value = (number(value) if number else value).cast("double")
-    part = sum((F.coalesce(value > c, F.lit(False)).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
-    ranged = df.withColumn("__part", part)
-    counts = ranged.groupBy("__part").count()
-    before = counts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1
-    numbered = ranged.withColumn("__local", local).join(F.broadcast(before), F.col("__part") == F.col("__p"))  # parts rows
-    return numbered.withColumn(name, F.col("__local") + F.col("__before")).drop("__part", "__local", "__p", "__before")
 
 
 class Series:
@@ -73,6 +38,24 @@ class Series:
         """An element-wise expression, such as those of ``tidemark.functions``."""
         return Series(self.frame, function(self.expr), name or self.name)
 
+    def size(self) -> int:
+        return self.frame.df.count()
+
+    def empty(self) -> bool:
+        return self.frame.df.isEmpty()
+
+    def nbytes(self) -> Column:
+        """An aggregate: bytes of the values, without validity; strings with four more for each, and four."""
+        width = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}.get(type(self.dtype), 8)
+        if isinstance(self.dtype, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.sum(F.octet_length(self.expr)), F.lit(0)) + 4 * F.count("*") + 4
+        return width * F.count("*")
+
+    def values(self) -> list:
+        """The values in order, on the driver; nulls of doubles become NaN, others are an error."""
+        rows = self.frame.df.select(self.expr.alias("x"), POS).orderBy(POS).collect()
+        return [as_value(r.x, self.dtype.simpleString()) for r in rows]
+
     def rename(self, name: str) -> Series:
         return Series(self.frame, self.expr, name)
 
@@ -195,7 +178,8 @@ class Frame:
 
     def __init__(self, df: DataFrame, root: DataFrame | None = None, exprs: Mapping[str, Column] | None = None) -> None:
         self.df = df
-        self.columns = [c for c in df.columns if c not in (IDX, POS, ROW)]
+        self.columns = [c for c in df.columns if c not in (IDX, POS, ROW, PART)]
+        self._ranges: dict[int | None, Ranges] = {}
         # frames that are expressions over one table combine without a join
         self._root = df if root is None else root
         self._exprs = dict(exprs or {c: F.col(f"`{c}`") for c in self.columns})
@@ -211,7 +195,7 @@ class Frame:
         keys = list(order or ([index] if index else df.columns[:1]))
         key = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
         if index is None:
-            numbered = with_position(df.withColumn(POS, key), [POS])
+            numbered = with_position(df.withColumn(POS, key), [POS], ROW)
             return cls(numbered.select(F.col(ROW).cast("long").alias(IDX), POS, *df.columns))
         values = [c for c in df.columns if keep or c != index]
         return cls(df.select(F.col(index).alias(IDX), key.alias(POS), *values))
@@ -249,9 +233,19 @@ class Frame:
         out = {c: f(e, c) for c, e in self._exprs.items()}
         return Frame(self._root.select(IDX, POS, *[e.alias(c) for c, e in out.items()]), self._root, out)
 
+    def ranges(self, block: int | None = None) -> Ranges:
+        """The frame's rows cut in order, into as many ranges as the session has tasks for or of about ``block`` rows."""
+        if block not in self._ranges:
+            self._ranges[block] = Ranges.of(self.df, [Key(F.col(POS))], block and max(1, -(-self.df.count() // block)))
+        return self._ranges[block]
+
+    def parted(self, block: int | None = None) -> DataFrame:
+        """The frame's DataFrame with the number of each row's range; ranges follow the order."""
+        return self.ranges(block).mark(self.df)
+
     def dense(self) -> DataFrame:
         """The frame's DataFrame with ``__row``, the position 0..n-1."""
-        return self.df if ROW in self.df.columns else with_position(self.df, [POS])
+        return self.df if ROW in self.df.columns else self.ranges().number(self.df, ROW).drop(PART)
 
     # ------------------------------------------------------- columns and index
 
@@ -434,8 +428,25 @@ class Frame:
         close = [F.coalesce(F.abs(F.col(f"`{c}`") - F.col(n)) <= tolerance, F.col(f"`{c}`").isNull() & F.col(n).isNull()) for c, n in names.items()]
         return both.df.where(~F.coalesce(F.greatest(F.lit(False), F.least(F.lit(True), *close)), F.lit(False))).isEmpty()
 
-    def show(self, n: int = 20) -> None:
-        self.df.orderBy(POS).select(F.col(IDX).alias("index"), *self.columns).show(n)
+    def show(self, n: int = 20, columns: int = 100) -> None:
+        """Prints at most ``n`` rows and as many ``columns``, of either the first and the last."""
+        from .operators.select import preview
+
+        half = columns // 2
+        names = self.columns if len(self.columns) <= columns else [*self.columns[: columns - half], *self.columns[-half:]]
+        preview(self[names], n).show(n + 1)
+
+
+def as_value(value: Any, kind: str) -> Any:
+    """A scalar as a value of a type: a null is NaN as a number with a fraction, and an error as anything else."""
+    if value is None:
+        if kind in ("double", "float"):
+            return float("nan")
+        raise ValueError(f"a null can't be a {kind}")
+    to = {"double": float, "float": float, "string": str, "boolean": bool}.get(kind, int if kind in ("bigint", "long", "int", "smallint", "tinyint") else None)
+    if to is int and int(value) != float(value):
+        raise ValueError(f"{value} isn't whole")
+    return to(value) if to else value
 
 
 def _kind(values: Sequence[Any]) -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,8 +39,16 @@ def utf8_lower(x: Column) -> Column:
     return F.lower(x)
 
 
+#: Characters whose upper case is several: the simple mapping gives one, or the character itself.
+_LONG = [c for c in map(chr, range(0x80, 0x1FFFF)) if len(c.upper()) > 1]
+_SHORT = pc.utf8_upper(pa.array(_LONG)).to_pylist()
+#: What stands for them while the rest is mapped: the last private code points.
+_ASIDE = [chr(0x10FF00 + k) for k in range(len(_LONG))]
+
+
 def utf8_upper(x: Column) -> Column:
-    return F.upper(x)
+    """Upper case, one character for one."""
+    return F.translate(F.upper(F.translate(x, "".join(_LONG), "".join(_ASIDE))), "".join(_ASIDE), "".join(_SHORT))
 
 
 def utf8_capitalize(x: Column) -> Column:

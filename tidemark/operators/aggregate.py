@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +11,60 @@ from pyspark.sql import types as T
 
 from ..frame import IDX, POS, Frame
 from ..functions import nulls
+from ..order import Key, Ranges, with_position
 
 
-def product(x: Column, integral: bool = False) -> Column:
-    """The product; of integers exactly, as a long."""
-    if not integral:
-        return F.product(x)
-    return F.aggregate(F.collect_list(x), F.lit(1).cast("long"), lambda a, v: a * v.cast("long"))
+#: Values that one task multiplies or sorts as an array.
+LIST = 10_000
+#: Different values of a column up to which its quantiles are found in one aggregation.
+DIFFERENT = 200_000
+
+
+def product(x: Column) -> Column:
+    """The product as a double; ``integer_product`` is exact."""
+    return F.product(x)
+
+
+def integer_product(frame: Frame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """The keys and ``column``, the exact product of its longs; an overflow is an error.
+
+    Rows are multiplied in lists of about ``LIST``, their products again, until
+    one is left: no list holds a group, however large.
+    """
+    lists = max(1, -(-frame.df.count() // LIST))
+    x = F.col(f"`{column}`").cast("long").alias(column)
+    rows = frame.df.select(*by, x, F.pmod(F.xxhash64(POS), F.lit(lists)).alias("__list"))
+    whole = F.when(F.count(column) > 0, F.aggregate(F.collect_list(column), F.lit(1).cast("long"), lambda a, v: a * v)).alias(column)
+    while lists > 1:
+        rows = rows.groupBy(*by, "__list").agg(whole)
+        lists = -(-lists // LIST)
+        rows = rows.withColumn("__list", F.pmod("__list", F.lit(lists)))
+    return rows.groupBy(*by).agg(whole)
+
+
+def _between(q: float, interpolation: str, n: int) -> tuple[int, int, float]:
+    """The two places of an exact quantile among n values, and the share of the second."""
+    rank = q * (n - 1)
+    low, high = floor(rank), ceil(rank)
+    return {"linear": (low, high, rank - low), "lower": (low, low, 0.0), "higher": (high, high, 0.0), "nearest": (round(rank), round(rank), 0.0), "midpoint": (low, high, 0.5)}[interpolation]
+
+
+def exact_quantiles(frame: Frame, column: str, wanted: Mapping[str, tuple[float, str]]) -> DataFrame:
+    """One row: name -> exact (quantile, interpolation) of a column of any size.
+
+    Values are cut into ranges and counted; only the ranges that hold a wanted
+    place are sorted.
+    """
+    values = frame.df.select(F.col(f"`{column}`").cast("double").alias("x")).where("x is not null")
+    ranges = Ranges.of(values, [Key(F.col("x"))])
+    ranges.sizes(values)
+    if not ranges.total:
+        return frame.df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(n) for n in wanted])
+    places = {n: _between(q, how, ranges.total) for n, (q, how) in wanted.items()}
+    needed = sorted({p for low, high, _ in places.values() for p in (low, high)})
+    numbered = ranges.number(values, "at", needed).where(F.col("at").isin(needed))
+    at = lambda p: F.max(F.when(F.col("at") == p, F.col("x")))
+    return numbered.agg(*[(at(low) if low == high else at(low) + (at(high) - at(low)) * share).alias(n) for n, (low, high, share) in places.items()])
 
 
 def variance(x: Column, ddof: int = 1) -> Column:
@@ -33,10 +81,10 @@ def deviation(x: Column, ddof: int = 1) -> Column:
 
 
 def quantile(x: Column, q: float, interpolation: str = "linear") -> Column:
-    """An exact quantile: linear, lower, higher, nearest or midpoint.
+    """An exact quantile as an aggregate: linear, lower, higher, nearest or midpoint.
 
-    Linear is Spark's percentile, which keeps counts per value; the others read
-    two neighbours from the two percentiles that bracket the rank.
+    Linear keeps a count per different value, the others a group's values: for
+    groups of bounded size.  ``exact_quantiles`` is for whole columns.
     """
     if interpolation == "linear":
         return F.percentile(x, q)
@@ -132,8 +180,6 @@ def is_unique(frame: Frame, column: str) -> DataFrame:
 def dictionary_encode(frame: Frame, column: str) -> Frame:
     """The number of each value in order of first appearance; null stays null."""
     firsts = frame.df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.min(POS).alias("__at"))
-    from ..frame import with_position
-
     codes = with_position(firsts, ["__at"], "code").select("__v", F.col("code").cast("long").alias("code"))
     return Frame(frame.df.join(codes, F.col(column) == F.col("__v"), "left").drop("__v"))
 
@@ -151,17 +197,32 @@ def arg_extremes(frame: Frame, column: str) -> DataFrame:
     return frame.dense().agg(F.min_by("__row", key).cast("long").alias("argmin"), F.max_by("__row", high).cast("long").alias("argmax"), F.min_by(IDX, key).alias("idxmin"), F.max_by(IDX, high).alias("idxmax"))
 
 
-def describe(frame: Frame, columns: Sequence[str] | None = None, percentiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """A row per column: count, mean, std, min, nunique, percentiles and max, in one pass over the data."""
+def describe(frame: Frame, columns: Sequence[str] | None = None, percentiles: Sequence[float] = (0.25, 0.5, 0.75), different: int = DIFFERENT) -> DataFrame:
+    """A row per column: count, mean, std, min, nunique, percentiles and max.
+
+    A first pass counts different values approximately.  Columns of at most
+    about ``different`` get the rest from one more aggregation; for others values are made
+    distinct by a shuffle and percentiles come from ranges.
+    """
     names = list(columns or frame.columns)
     for c in names:
         if not isinstance(frame.df.schema[c].dataType, T.NumericType):
             raise TypeError(f"{c} isn't numeric")
-    parts = []
-    for c in names:
-        x = F.col(f"`{c}`").cast("double")
-        fields = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.count_distinct(x).alias("nunique"), *[F.percentile(x, p).alias(f"p{round(100 * p)}") for p in percentiles], F.max(x).alias("max")]
-        parts.append(F.struct(F.lit(c).alias("column"), *fields))
+    told = {f"p{round(100 * p)}": (p, "linear") for p in percentiles}
+    values = {c: F.col(f"`{c}`").cast("double") for c in names}
+    kinds = frame.df.agg(*[F.approx_count_distinct(x).alias(c) for c, x in values.items()]).first()
+    few, many = ([c for c in names if (kinds[c] <= different) == small] for small in (True, False))
+
+    def row(c: str, nunique: Column, quantiles: Mapping[str, Column]) -> Column:
+        x = values[c]
+        ends = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min")]
+        return F.struct(F.lit(c).alias("column"), *ends, nunique.cast("long").alias("nunique"), *[q.alias(n) for n, q in quantiles.items()], F.max(x).alias("max"))
+
+    parts = [row(c, F.size(F.collect_set(values[c])), {n: F.percentile(values[c], p) for n, (p, _) in told.items()}) for c in few]
+    for c in many:
+        nunique = frame.df.select(values[c].alias("x")).where("x is not null").distinct().agg(F.count("*")).scalar()
+        found = exact_quantiles(frame, c, told)
+        parts.append(row(c, F.first(nunique), {n: F.first(found.select(n).scalar()) for n in told}))
     return frame.df.agg(F.array(*parts).alias("d")).select(F.inline("d"))
 
 
@@ -179,11 +240,11 @@ def correlation(frame: Frame, a: str, b: str, method: str = "pearson") -> DataFr
 
     def ranks(name: str) -> DataFrame:
         """Average rank of each value: counts per value, then a running sum of counts."""
-        from pyspark.sql.window import Window
+        from .window import running
 
-        counts = both.groupBy(name).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(F.col(name).alias(f"v{name}"), (before + (F.col("n") + 1) / 2).alias(f"r{name}"))
+        counts = Frame(both.groupBy(name).agg(F.count("*").alias("n")).select(F.col(name).alias(IDX), F.col(name).alias(POS), "n"))
+        upto = running(counts, {"upto": (F.col("n"), "sum")}, [])
+        return upto.select(F.col(IDX).alias(f"v{name}"), (F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{name}"))
 
     joined = both.join(ranks("a"), F.col("a") == F.col("va")).join(ranks("b"), F.col("b") == F.col("vb"))
     return joined.agg(F.corr("ra", "rb").alias("corr"))
@@ -209,8 +270,11 @@ def per_row(frame: Frame, how: str, name: str | None = None, columns: Sequence[s
     cells = [F.col(f"`{c}`") for c in (columns or frame.columns)]
     kept = F.array_compact(F.array(*cells))
     n = F.size(kept)
-    total = F.aggregate(kept, F.lit(0.0), lambda a, v: a + v)
-    mean = F.try_divide(total, n)
+    # longs stay longs: a double would lose digits beyond 2^53
+    whole = all(isinstance(frame.df.schema[c].dataType, T.IntegralType) for c in (columns or frame.columns))
+    one = (lambda k: F.lit(k).cast("long")) if whole else (lambda k: F.lit(float(k)))
+    total = F.aggregate(kept, one(0), lambda a, v: a + v)
+    mean = F.try_divide(F.aggregate(kept, F.lit(0.0), lambda a, v: a + v), n)
     ordered = F.sort_array(kept)
     ddof = options.get("ddof", 1)
     spread = lambda: F.aggregate(kept, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
@@ -221,6 +285,14 @@ def per_row(frame: Frame, how: str, name: str | None = None, columns: Sequence[s
         low, high = F.get(ordered, F.floor(rank).cast("int")), F.get(ordered, F.ceil(rank).cast("int"))
         return low + (high - low) * (rank - F.floor(rank))
 
+    def digest(q: float) -> Column:
+        """A digest of so few values keeps each as a cluster of its own and answers with a value, or the middle of two."""
+        at = n * F.lit(float(q))
+        place = F.floor(at).cast("int")
+        value = F.get(ordered, place)
+        middle = (F.get(ordered, place - 1) + value) / 2
+        return F.when(at <= 1, F.get(ordered, F.lit(0))).when(at >= n - 1, F.get(ordered, n - 1)).when(at == place, middle).otherwise(value).cast("double")
+
     value = {
         "all": lambda: F.forall(kept, lambda v: v),
         "any": lambda: F.exists(kept, lambda v: v),
@@ -234,11 +306,11 @@ def per_row(frame: Frame, how: str, name: str | None = None, columns: Sequence[s
         "min": lambda: F.array_min(kept),
         "mean": lambda: mean,
         "sum": lambda: total,
-        "product": lambda: F.aggregate(kept, F.lit(1.0), lambda a, v: a * v),
+        "product": lambda: F.aggregate(kept, one(1), lambda a, v: a * v),
         "std": lambda: F.sqrt(var()),
         "var": var,
         "quantile": lambda: at_rank(options.get("q", 0.5)),
-        "tdigest": lambda: at_rank(options.get("q", 0.5)),
+        "tdigest": lambda: digest(options.get("q", 0.5)),
     }[how]()
     return Frame(frame.df.select(IDX, POS, value.alias(name or how)))
 
@@ -277,7 +349,9 @@ class Grouped:
         return self.by.agg(*[quantile(F.col(f"`{c}`"), q, interpolation).alias(c) for c, q in quantiles.items()])
 
     def product(self, column: str, integral: bool) -> DataFrame:
-        return self.by.agg(product(F.col(column), integral).alias(column))
+        if integral:
+            return integer_product(self.frame.add_column("key", F.col(self.key)), column, ["key"])
+        return self.by.agg(product(F.col(column)).alias(column))
 
     def sizes(self) -> DataFrame:
         """key, the group's rows and its place in order of first appearance."""

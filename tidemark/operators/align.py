@@ -92,12 +92,13 @@ def concat_rows(frames: Sequence[Frame], how: str = "outer", ignore_index: bool
     if how == "inner":
         names = [c for c in names if all(c in f.columns for f in frames)]
     kinds = {c: common_type([f.df.schema[c].dataType for f in frames if c == IDX or c in f.columns]) for c in [IDX, *names]}
+    alike = len({f.df.schema[POS].dataType.simpleString() for f in frames}) == 1
     parts = []
     for k, f in enumerate(frames):
         values = [F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in f.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names]
-        # the place in its own frame, made comparable across frames
-        rows = f.dense()
-        parts.append(rows.select(F.col(IDX).cast(kinds[IDX]).alias(IDX), F.struct(F.lit(k).alias("f"), F.col(ROW).alias("r")).alias(POS), *values))
+        # order keys of one type stay; others give way to the place in their own frame
+        rows, place = (f.df, POS) if alike else (f.dense(), ROW)
+        parts.append(rows.select(F.col(IDX).cast(kinds[IDX]).alias(IDX), F.struct(F.lit(k).alias("f"), F.col(place).alias("r")).alias(POS), *values))
     out = Frame(reduce(DataFrame.union, parts))
     return out.reset_index(drop=True) if ignore_index else out
 

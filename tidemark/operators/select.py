@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -114,6 +114,16 @@ def tail(frame: Frame, n: int = 5) -> Frame:
     return Frame(frame.df.orderBy(F.col(POS).desc()).limit(n))
 
 
+def preview(frame: Frame, most: int = 1000, index: str = "index") -> DataFrame:
+    """The rows that are printed: all, or the first and the last half of ``most``; ``end`` tells head from tail."""
+    half = most // 2
+    first = frame.df.orderBy(POS).limit(most - half)
+    # rows of a short frame are in the head already
+    last = frame.df.join(F.broadcast(first.agg(F.max(POS).alias("__last"))), F.col(POS) > F.col("__last")).orderBy(F.col(POS).desc()).limit(half)
+    named = lambda df, end: df.select(F.col(IDX).alias(index), *frame.columns, F.lit(end).alias("end"), POS)
+    return named(first, "head").union(named(last, "tail")).orderBy(POS).drop(POS)
+
+
 def drop_na(frame: Frame) -> Frame:
     """Rows without a null value or label."""
     return Frame(frame.df.dropna("any", subset=[IDX, *frame.columns]))

@@ -8,40 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..frame import IDX, POS, ROW, Frame, with_position
+from ..frame import IDX, POS, ROW, Frame
+from ..order import Key, with_position
 
 
-def keys(frame: Frame, by: Sequence[str], ascending: bool = True) -> list[Column]:
-    out: list[Column] = []
+def keys(frame: Frame, by: Sequence[str], ascending: bool = True) -> list[Key]:
+    out: list[Key] = []
     for c in by:
         x = F.col(f"`{c}`")
         if isinstance(frame.df.schema[c].dataType, (T.FloatType, T.DoubleType)):
-            out.append(F.coalesce(F.isnan(x), F.lit(False)).asc())
-        out.append(x.asc_nulls_last() if ascending else x.desc_nulls_last())
-    return [*out, F.col(POS)]
+            # numbers, NaN, nulls
+            out.append(Key(F.when(x.isNull(), 2).otherwise(F.isnan(x).cast("int"))))
+        out.append(Key(x, ascending, nulls_first=False))
+    return [*out, Key(F.col(POS))]
+
+
+def _sorts(frame: Frame, by: Sequence[str], ascending: bool) -> list[Column]:
+    return [k.sort for k in keys(frame, by, ascending)]
 
 
 def sort_values(frame: Frame, by: Sequence[str], ascending: bool = True) -> Frame:
     """Whole rows by columns, ties in their old order; a distributed sort.  The old order key stays: see ``ranked``."""
-    return Frame(frame.df.orderBy(*keys(frame, by, ascending)))
+    return Frame(frame.df.orderBy(*_sorts(frame, by, ascending)))
 
 
 def ranked(frame: Frame, by: Sequence[str], ascending: bool = True) -> Frame:
     """``sort_values`` with the new place as order key.
 
-    Places come from ranges of the first key, so no task sorts all rows.
+    Places come from ranges of all keys, so no task sorts all rows.
     """
-    c = by[0]
-    x = F.col(f"`{c}`")
-    numeric = isinstance(frame.df.schema[c].dataType, T.NumericType)
-    floating = isinstance(frame.df.schema[c].dataType, (T.FloatType, T.DoubleType))
-    odd = F.when(x.isNull(), F.lit(2)).otherwise(F.when(F.isnan(x), F.lit(1)).otherwise(F.lit(0)) if floating else F.lit(0))
-    if not numeric:
-        out = with_position(frame.df.drop(ROW), keys(frame, by, ascending))
-    else:
-        biggest = F.lit(1.7e308)
-        lead = F.when(odd > 0, biggest).otherwise(x.cast("double") if ascending else -x.cast("double"))
-        out = with_position(frame.df.drop(ROW).withColumn("__lead", lead).withColumn("__odd", odd), [F.col("__lead"), F.col("__odd"), *keys(frame, by, ascending)]).drop("__lead", "__odd")
+    out = with_position(frame.df.drop(ROW), keys(frame, by, ascending), ROW)
     return Frame(out.withColumn(POS, F.col(ROW)).drop(ROW))
 
 
@@ -59,11 +55,11 @@ def sort_index(frame: Frame, ascending: bool = True, ignore_index: bool = False)
 
 def largest(frame: Frame, column: str, n: int) -> Frame:
     """Top n: each task keeps its own n."""
-    return Frame(frame.df.orderBy(*keys(frame, [column], False)).limit(n))
+    return Frame(frame.df.orderBy(*_sorts(frame, [column], False)).limit(n))
 
 
 def smallest(frame: Frame, column: str, n: int) -> Frame:
-    return Frame(frame.df.orderBy(*keys(frame, [column], True)).limit(n))
+    return Frame(frame.df.orderBy(*_sorts(frame, [column], True)).limit(n))
 
 
 def nth_element(frame: Frame, column: str, n: int) -> DataFrame:

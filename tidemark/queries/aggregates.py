@@ -34,8 +34,9 @@ def a03(spark, sf_dir):
 
 @query("a05_product", "SELECT r_regionkey // 3 AS key, CAST(product(r_regionkey + 2) AS BIGINT) AS p, product(r_regionkey + 0.5) AS f FROM region GROUP BY 1")
 def a05(spark, sf_dir):
-    df = table(spark, sf_dir, "region").select((c("r_regionkey") / 3).cast("int").alias("key"), (c("r_regionkey") + 2).alias("p"), (c("r_regionkey") + 0.5).alias("f"))
-    return df.groupBy("key").agg(a.product(c("p"), True).alias("p"), a.product(c("f")).alias("f"))
+    df = table(spark, sf_dir, "region").select("r_regionkey", (c("r_regionkey") / 3).cast("int").alias("k"), (c("r_regionkey") + 2).alias("p"), (c("r_regionkey") + 0.5).alias("f"))
+    by = a.group_by(Frame.of(df, "r_regionkey"), "k")
+    return by.product("p", True).join(by.product("f", False), "key")
 
 
 @query("a07_nunique", f"SELECT count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS kinds FROM {EV}")
@@ -51,7 +52,7 @@ def a08(spark, sf_dir):
 
 @query("a09_median", f"SELECT round(median(v), 6) AS m FROM {EV}")
 def a09(spark, sf_dir):
-    return a.agg(frame(spark, sf_dir), {"m": ("v", "median")}).select(F.round("m", 6).alias("m"))
+    return a.exact_quantiles(frame(spark, sf_dir), "v", {"m": (0.5, "linear")}).select(F.round("m", 6).alias("m"))
 
 
 RANKED = f"(SELECT list_sort(list(v) FILTER (v IS NOT NULL)) AS l, (count(v) - 1) * 0.3 AS r FROM {EV})"
@@ -59,9 +60,9 @@ RANKED = f"(SELECT list_sort(list(v) FILTER (v IS NOT NULL)) AS l, (count(v) - 1
 
 @query("a10_quantile", f"SELECT round((SELECT quantile_cont(v, 0.3) FROM {EV}), 6) AS linear, l[CAST(floor(r) AS BIGINT) + 1] AS lower, l[CAST(ceil(r) AS BIGINT) + 1] AS higher, l[CAST(round_even(r, 0) AS BIGINT) + 1] AS nearest, (l[CAST(floor(r) AS BIGINT) + 1] + l[CAST(ceil(r) AS BIGINT) + 1]) / 2 AS midpoint FROM {RANKED}")
 def a10(spark, sf_dir):
-    x = c("v")
-    kinds = ("lower", "higher", "nearest", "midpoint")
-    return frame(spark, sf_dir).df.agg(F.round(a.quantile(x, 0.3), 6).alias("linear"), *[a.quantile(x, 0.3, k).alias(k) for k in kinds])
+    kinds = ("linear", "lower", "higher", "nearest", "midpoint")
+    out = a.exact_quantiles(frame(spark, sf_dir), "v", {k: (0.3, k) for k in kinds})
+    return out.withColumn("linear", F.round("linear", 6))
 
 
 @query("a11_tdigest", f"SELECT quantile_disc(v, 0.5) AS m FROM {EV}")
@@ -170,6 +171,22 @@ def x_columns(spark, sf_dir):
     return out
 
 
+@query("x_rows_tdigest", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN len(z) * 0.25 <= 1 THEN z[1] WHEN len(z) * 0.25 >= len(z) - 1 THEN z[len(z)] ELSE z[CAST(floor(len(z) * 0.25) AS BIGINT) + 1] END AS low, CASE WHEN len(z) % 2 = 0 THEN (z[len(z) // 2] + z[len(z) // 2 + 1]) / 2 ELSE z[len(z) // 2 + 1] END AS middle FROM (SELECT *, list_sort({NN}) AS z FROM lineitem)")
+def x_rows_tdigest(spark, sf_dir):
+    f = rows(spark, sf_dir)
+    both = Frame(a.per_row(f, "tdigest", "low", q=0.25).df.join(a.per_row(f, "tdigest", "middle").df.select(IDX, "middle"), IDX))
+    return both.to_df("k").select("k.*", "low", "middle")
+
+
+@query("x_columns_tdigest", "SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS \"column\", true AS near")
+def x_columns_tdigest(spark, sf_dir):
+    """Approximate medians, held against exact quantiles a ten-thousandth of the rows before and after."""
+    f = rows(spark, sf_dir)
+    found = a.per_column(f, "tdigest")
+    low, high = (a.per_column(f, "quantile", q=q).withColumnRenamed("value", n) for q, n in ((0.4999, "low"), (0.5001, "high")))
+    return found.join(low, "column").join(high, "column").select("column", c("value").between(c("low"), c("high")).alias("near"))
+
+
 @query("x_columns_logical", "SELECT c AS \"column\", bool_and(v) AS every, bool_or(v) AS any FROM (SELECT unnest(['a', 'b']) AS c, unnest([l_quantity > 0, l_tax > 0.07]) AS v FROM lineitem) GROUP BY 1")
 def x_logical(spark, sf_dir):
     f = items(spark, sf_dir, (c("l_quantity") > 0).alias("a"), (c("l_tax") > 0.07).alias("b"))

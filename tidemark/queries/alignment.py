@@ -19,12 +19,12 @@ def customers(spark, sf_dir, *columns: str) -> Frame:
     return Frame.of(table(spark, sf_dir, "customer").select("c_custkey", *columns), "c_custkey")
 
 
-BOTH = "SELECT coalesce(c_custkey, p_partkey) AS \"index\", c_acctbal AS x, p_retailprice AS x_1 FROM customer {how} JOIN (SELECT * FROM part WHERE p_partkey % 3 = 0) ON c_custkey = p_partkey"
+BOTH = "SELECT coalesce(c_custkey, p_partkey) AS \"index\", c_acctbal AS x, p_retailprice AS x_1 FROM customer {how} JOIN (SELECT p_partkey * 3 AS p_partkey, p_retailprice FROM part) ON c_custkey = p_partkey"
 
 
 def _two(spark, sf_dir):
     left = Frame.of(table(spark, sf_dir, "customer").select("c_custkey", c("c_acctbal").alias("x")), "c_custkey")
-    right = Frame.of(table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select("p_partkey", c("p_retailprice").alias("x")), "p_partkey")
+    right = Frame.of(table(spark, sf_dir, "part").select((c("p_partkey") * 3).alias("p_partkey"), c("p_retailprice").alias("x")), "p_partkey")
     return left, right
 
 
@@ -49,7 +49,7 @@ def j02(spark, sf_dir):
     return a.concat_columns(_two(spark, sf_dir), "inner").to_df()
 
 
-@query("j03_paste", "WITH a AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS r FROM customer), b AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS r FROM part WHERE p_partkey % 3 = 0) SELECT c_custkey AS \"index\", c_acctbal AS x, p_retailprice AS y FROM a LEFT JOIN b USING (r)")
+@query("j03_paste", "WITH a AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS r FROM customer), b AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS r FROM part) SELECT c_custkey AS \"index\", c_acctbal AS x, p_retailprice AS y FROM a LEFT JOIN b USING (r)")
 def j03(spark, sf_dir):
     left, right = _two(spark, sf_dir)
     return a.paste(left, right.rename({"x": "y"})).to_df()
@@ -73,7 +73,7 @@ def j04_series(spark, sf_dir):
     return a.reindex(f, date_range(spark, datetime(2024, 1, 1), datetime(2024, 1, 31), freq="1H"), "ts").to_df()
 
 
-@query("j06_align_series", "SELECT coalesce(c_custkey, p_partkey) AS \"index\", round(c_acctbal + p_retailprice, 4) AS x FROM customer FULL JOIN (SELECT * FROM part WHERE p_partkey % 3 = 0) ON c_custkey = p_partkey")
+@query("j06_align_series", "SELECT coalesce(c_custkey, p_partkey) AS \"index\", round(c_acctbal + p_retailprice, 4) AS x FROM customer FULL JOIN (SELECT p_partkey * 3 AS p_partkey, p_retailprice FROM part) ON c_custkey = p_partkey")
 def j06(spark, sf_dir):
     left, right = _two(spark, sf_dir)
     return (left["x"] + right["x"]).map_expr(lambda x: F.round(x, 4)).to_frame().to_df()
@@ -121,7 +121,7 @@ def u05(spark, sf_dir):
 
 @query("u06_union", "WITH b AS (SELECT 0 AS f, s_suppkey AS r, s_nationkey AS k FROM supplier UNION ALL SELECT 1, c_custkey, c_nationkey FROM customer), d AS (SELECT k, min((f, r)) AS m FROM b GROUP BY 1) SELECT k, row_number() OVER (ORDER BY m) - 1 AS place FROM d")
 def u06(spark, sf_dir):
-    from ..frame import with_position
+    from ..order import with_position
 
     x = table(spark, sf_dir, "supplier").select(c("s_nationkey").alias("k"), c("s_suppkey").alias("o"))
     y = table(spark, sf_dir, "customer").select(c("c_nationkey").alias("k"), c("c_custkey").alias("o"))

@@ -112,3 +112,28 @@ scalar("d01_ceil", "orders", ["o_orderkey"], {"day": (lambda: d.ceil(c("o_orderd
 scalar("d01_round", "events", ["event_id"], {"day": (lambda: d.round(c(T), 1, "day"), "CAST(date_trunc('day', ts + INTERVAL 12 HOUR) AS TIMESTAMP)"), "hour": (lambda: d.round(c(T), 1, "hour"), "CAST(date_trunc('hour', ts + INTERVAL 30 MINUTE) AS TIMESTAMP)"), "month": (lambda: d.round(c(T), 1, "month"), "CASE WHEN epoch_us(ts) - epoch_us(date_trunc('month', ts)::TIMESTAMP) >= epoch_us(date_trunc('month', ts)::TIMESTAMP + INTERVAL 1 MONTH) - epoch_us(ts) THEN date_trunc('month', ts)::TIMESTAMP + INTERVAL 1 MONTH ELSE date_trunc('month', ts)::TIMESTAMP END")})
 O = "o_orderdate"
 scalar("d18_offsets", "orders", ["o_orderkey"], {"d": (lambda: d.offset(c(O), "D", 3), f"{O} + INTERVAL 3 DAY"), "w": (lambda: d.offset(c(O), "W", -2), f"{O} - INTERVAL 14 DAY"), "ms": (lambda: d.offset(c(O), "MS", 2), f"{O} + INTERVAL 2 MONTH"), "me": (lambda: d.offset(c(O), "M", 1), f"CAST(last_day({O} + INTERVAL 1 MONTH) AS TIMESTAMP)"), "qe": (lambda: d.offset(c(O), "Q", 0), f"CAST(date_trunc('quarter', {O}) AS TIMESTAMP) + INTERVAL 3 MONTH - INTERVAL 1 DAY"), "ye": (lambda: d.offset(c(O), "Y", -1), f"make_timestamp(CAST(year({O}) - 1 AS BIGINT), 12, 31, 0, 0, 0.0)"), "ys": (lambda: d.offset(c(O), "YS", 1), f"{O} + INTERVAL 1 YEAR")})
+
+
+@query("c04_scalar_values", "SELECT CAST(count(*) AS DOUBLE) AS n, true AS missing, true AS refused, min(p_name) AS first, CAST(year(DATE '2022-03-04') AS BIGINT) AS y, true AS valid FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)")
+def c04(spark, sf_dir):
+    from datetime import date
+
+    from ..frame import as_value
+    from ..operators.select import at
+
+    f = Frame.of(table(spark, sf_dir, "part").select("p_partkey", "p_name", F.lit(1).alias("one"), F.lit(None).cast("double").alias("none"), F.lit(date(2022, 3, 4)).alias("d")), "p_partkey")
+    try:
+        refused = as_value(at(f, 0, "none"), "bigint") is None
+    except ValueError:
+        refused = True
+    missing = as_value(at(f, 0, "none"), "double")
+    row = (as_value(at(f, 0, "one"), "double"), missing != missing, refused, as_value(at(f, 0, "p_name"), "string"), at(f, 0, "d").year, at(f, 0, "one") is not None)
+    return spark.createDataFrame([row], "n double, missing boolean, refused boolean, first string, y long, valid boolean")
+
+
+@query("d19_time_spans", "SELECT * FROM (VALUES ('3T', CAST(180000000 AS BIGINT), CAST(NULL AS BIGINT), CAST(3 AS BIGINT)), ('2D', 172800000000, NULL, 2), ('QS', NULL, 3, 1), ('10L', 10000, NULL, 10), ('2W', 1209600000000, NULL, 2), ('YS', NULL, 12, 1)) t(rule, micros, months, steps)")
+def d19(spark, sf_dir):
+    from ..plans import freq
+
+    rules = [(r, freq.parse(r).micros, freq.parse(r).months, freq.parse(r).count) for r in ("3T", "2D", "QS", "10L", "2W", "YS")]
+    return spark.createDataFrame(rules, "rule string, micros long, months long, steps long")

@@ -81,6 +81,13 @@ def p13(spark, sf_dir):
     return f.df.agg(F.lit(f.contains("p_name")).alias("has"), F.lit(f.contains("x")).alias("hasnt"), F.count("*").alias("n"), F.lit(len(f.columns)).cast("long").alias("k"), F.lit(f.dtypes["p_name"]).alias("kind"))
 
 
+@query("p14_series_facts", "SELECT count(*) AS size, count(*) = 0 AS empty, count(*) * 8 AS prices, CAST(sum(strlen(p_name)) + 4 * count(*) + 4 AS BIGINT) AS names, 'double' AS kind FROM part")
+def p14(spark, sf_dir):
+    f = parts(spark, sf_dir, "p_name", "p_retailprice")
+    price, name = f["p_retailprice"], f["p_name"]
+    return f.df.agg(F.lit(price.size()).alias("size"), F.lit(price.empty()).alias("empty"), price.nbytes().alias("prices"), name.nbytes().alias("names"), F.lit(price.dtype.simpleString()).alias("kind"))
+
+
 @query("p15_set_index", "SELECT p_name AS \"index\", p_size FROM part")
 def p15(spark, sf_dir):
     return parts(spark, sf_dir, "p_name", "p_size").set_index("p_name").to_df()
@@ -267,6 +274,25 @@ def o04(spark, sf_dir):
     return o.ranked(parts(spark, sf_dir, "p_size", "p_type"), ["p_size", "p_type"], False).df.select(c(IDX).alias("index"), "p_size", "p_type", c(POS).cast("long").alias("place"))
 
 
+@query("o02_argsort_by_time", "WITH o AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders) SELECT position, row_number() OVER (ORDER BY o_orderdate, position) - 1 AS up, row_number() OVER (ORDER BY o_orderdate DESC, position) - 1 AS down FROM o")
+def o02_time(spark, sf_dir):
+    f = Frame.of(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
+    up, down = (o.argsort(f, ["o_orderdate"], k).withColumnRenamed("place", n) for k, n in ((True, "up"), (False, "down")))
+    return up.join(down, "position").select("position", "up", "down")
+
+
+@query("o05_sort_index_by_time", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS up, row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS down FROM events")
+def o05_time(spark, sf_dir):
+    f = event_frame(spark, sf_dir, "event_id")
+    up, down = (o.sort_index(f, k).df.select("event_id", c(POS).cast("long").alias(n)) for k, n in ((True, "up"), (False, "down")))
+    return up.join(down, "event_id")
+
+
+@query("o07_nth_element_by_time", "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders) SELECT position, o_orderdate AS value FROM o ORDER BY o_orderdate, position LIMIT 1 OFFSET 700")
+def o07_time(spark, sf_dir):
+    return o.nth_element(Frame.of(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey"), "o_orderdate", 700)
+
+
 @query("o05_sort_index", "SELECT row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS \"index\", p_partkey FROM part")
 def o05(spark, sf_dir):
     f = Frame.of(table(spark, sf_dir, "part").select("p_name", "p_partkey"), "p_name", ["p_partkey"])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..frame import Frame
 from ..functions import dates
+from ..operators import select
+from ..session import scratch
+from ..sources import arrays
 from ..sources import files as s
 from .base import query, table
 
@@ -19,10 +20,6 @@ def parts(spark, sf_dir) -> Frame:
     return Frame.of(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), "p_partkey")
 
 
-def scratch() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-io-") + "/out"
-
-
 @query("s01_read_parquet", "SELECT p_partkey AS \"index\", p_name, p_brand, p_type, p_size, p_retailprice FROM part")
 def s01(spark, sf_dir):
     return s.read_parquet(spark, f"{sf_dir}/part.parquet", "p_partkey").to_df()
@@ -30,14 +27,14 @@ def s01(spark, sf_dir):
 
 @query("s02_parquet_round_trip", PART)
 def s02(spark, sf_dir):
-    path = scratch()
+    path = scratch(spark, "io")
     s.write_parquet(parts(spark, sf_dir), path)
     return s.read_parquet(spark, path, "index").to_df()
 
 
 @query("s03_s04_csv_round_trip", PART)
 def s03(spark, sf_dir):
-    path = scratch()
+    path = scratch(spark, "io")
     s.write_csv(parts(spark, sf_dir), path)
     return s.read_csv(spark, path, "index", schema="p_name string, p_size int, p_retailprice double, index long").to_df()
 
@@ -50,7 +47,7 @@ def s05(spark, sf_dir):
 
 @query("s07_json_lines_round_trip", PART)
 def s07(spark, sf_dir):
-    path = scratch()
+    path = scratch(spark, "io")
     s.to_json(parts(spark, sf_dir)).select("json").write.text(path)
     return s.read_json(spark, path, "index long, p_name string, p_size int, p_retailprice double", "index").to_df()
 
@@ -115,3 +112,15 @@ def s30(spark, sf_dir):
 def s33(spark, sf_dir):
     t = dates.micros(c("ts"))
     return table(spark, sf_dir, "events").select("event_id", dates.from_micros(t).alias("a"), t.alias("t"), c("ts").cast("date").cast("timestamp_ntz").alias("d"))
+
+
+@query("s29_typed_arrays", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), DATE '2022-01-01', TIMESTAMP '2022-01-01 00:00:01', CAST(7 AS BIGINT), 2.5), (1, NULL, NULL, NULL, 2.5), (2, DATE '2022-01-03', TIMESTAMP '2022-01-03 00:00:00', 9, 2.5)) t(\"index\", d, t, n, c)")
+def s29(spark, sf_dir):
+    mask = [True, False, True]
+    made = {"d": arrays.dates([18993, 0, 18995], mask), "t": arrays.times([1640995201, 0, 1641168000], "second", mask), "n": arrays.typed([7, 8, 9], "long", mask), "c": arrays.constant(2.5, 3, "double")}
+    return arrays.frame(spark, made).to_df()
+
+
+@query("s32_preview", "WITH p AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS r, count(*) OVER () AS n FROM part) SELECT p_partkey AS \"index\", p_size, CASE WHEN r <= 5 THEN 'head' ELSE 'tail' END AS \"end\" FROM p WHERE r <= 5 OR r > n - 5")
+def s32(spark, sf_dir):
+    return select.preview(parts(spark, sf_dir)[["p_size"]], 10)

@@ -22,7 +22,7 @@ def put(name, columns, source="conversations", keys=None):
 
 
 put("t01_ascii_case", {"l": (lambda: s.ascii_lower(c(TXT)), f"translate(text, '{s.UPPER}', '{s.LOWER}')"), "u": (lambda: s.ascii_upper(c(TXT)), f"translate(text, '{s.LOWER}', '{s.UPPER}')")})
-put("t02_utf8_case", {"l": (lambda: s.utf8_lower(c(TXT)), "lower(text)"), "u": (lambda: F.replace(s.utf8_upper(c(TXT)), F.lit("SS"), F.lit("ß")), "replace(replace(upper(text), 'ẞ', 'ß'), 'SS', 'ß')")})
+put("t02_utf8_case", {"l": (lambda: s.utf8_lower(c(TXT)), "lower(text)"), "u": (lambda: s.utf8_upper(c(TXT)), "upper(text)")})
 put("t03_capitalize", {"u": (lambda: s.utf8_capitalize(c(TXT)), "upper(substr(text, 1, 1)) || lower(substr(text, 2))"), "a": (lambda: s.ascii_capitalize(c(TXT)), f"translate(substr(text, 1, 1), '{s.LOWER}', '{s.UPPER}') || translate(substr(text, 2), '{s.UPPER}', '{s.LOWER}')")})
 
 

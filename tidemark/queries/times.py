@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from ..frame import IDX, Frame
 from ..operators import resample as r
+from ..session import scratch
 from ..sources import ranges as g
 from ..streaming.bars import run_once, streaming_bars
 from .base import EV, event_frame, query, table
@@ -143,5 +143,5 @@ def stream(spark, sf_dir):
     out = streaming_bars(source, "ts", "value", ["ts", "event_id"], by=["event_type"])
     name = "tidemark_bars"
     spark.catalog.dropTempView(name)
-    found = run_once(out, name, tempfile.mkdtemp(prefix="tidemark-stream-"))
+    found = run_once(out, name, scratch(spark, "stream"))
     return found.withColumn("total", F.round("total", 4)).withColumn("bucket", c("bucket").cast("timestamp_ntz"))

@@ -1,9 +1,10 @@
-"""Getting this package to the executors."""
+"""Getting this package to the executors, and the folder that they share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,28 @@ def ship(spark: SparkSession) -> None:
             archive.write(file, file.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(application)
+
+
+SETTING = "spark.checkpoint.dir"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder of its own; on a
+    cluster that would be a folder of one machine, so there it is an error.
+    """
+    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"set {SETTING} to a folder that all executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    spark.conf.set(SETTING, folder)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
