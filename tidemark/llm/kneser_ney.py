@@ -9,8 +9,9 @@ Model
     with the uniform distribution.
 
 Scale
-    Texts are grouped into blocks of about ``block`` characters by the hash of
-    their id, so a block is bounded and no key is hot.  A block sends each of
+    Texts are grouped into blocks of about ``block`` bytes by the hash of
+    their id; an id whose rows fill more than a block is split by the hash of its
+    texts, so a block is bounded and no key is hot.  A block sends each of
     its different n-grams once, with its count in trusted text: characters are
     aggregated before anything is shuffled.  Count tables are sharded by n-gram
     and joined by n-gram, prefix and suffix to give each n-gram's
@@ -168,11 +169,16 @@ def probabilities(fitted: DataFrame, wanted: DataFrame, order: int, space: Works
         d = _discounts(tables[k], "c")
         contexts = tables[k].groupBy(F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("c").alias("all"), *(x.alias(f"n{i + 1}") for i, x in enumerate(classes)))
         rows = asked[k].select("gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("rest"))
-        joined = rows.join(tables[k], "gram", "left").join(contexts, "context", "left").join(p.withColumnsRenamed({"gram": "rest", "p": "lower"}), "rest")
+        # tables that grow with the text are never broadcast
+        lower = p.withColumnsRenamed({"gram": "rest", "p": "lower"})
+        joined = rows.join(tables[k].hint("merge"), "gram", "left").join(contexts.hint("merge"), "context", "left").join(lower.hint("merge"), "rest")
         spread = (F.col("n1") * d[0] + F.col("n2") * d[1] + F.col("n3") * d[2]) / F.col("all")
         own = F.when(F.col("c").isNotNull(), _discounted(F.col("c"), d) / F.col("all")).otherwise(0.0)
-        p = space.save(joined.select("gram", F.when(F.col("all").isNull(), F.col("lower")).otherwise(own + spread * F.col("lower")).alias("p")))
-    return p.select("gram", F.log("p").alias("logp"))
+        before, p = p, space.save(joined.select("gram", F.when(F.col("all").isNull(), F.col("lower")).otherwise(own + spread * F.col("lower")).alias("p")))
+        space.drop(before)
+    for done in (*(tables[k] for k in range(1, order)), asked[max(order - 1, 1)]):
+        space.drop(done)
+    return space.named(p.select("gram", F.log("p").alias("logp")), p)
 
 
 # ---------------------------------------------------------------- operator
@@ -196,9 +202,20 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 64 * F.count("*")).first()[0]
     blocks = max(1, -(-size // block))
     of_id = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    spread = rows.withColumn("hash", F.xxhash64("text")).withColumn("block", F.when(F.col("id").isNull(), F.pmod("hash", F.lit(blocks))).otherwise(of_id))
     held = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(HELD_OUT)) == 0
     marks = trusted.select(of_id.alias("block"), "id", held.alias("held"))
+    spread = rows.withColumn("hash", F.xxhash64("text"))
+    own = spread.groupBy("id").agg((F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 64 * F.count("*")).alias("bytes"))
+    # ids whose rows fill more than a block are split by their texts; there are no more of them than blocks
+    heavy = space.save(own.where((F.col("bytes") > block) & F.col("id").isNotNull()).select(F.col("id").alias("heavy"), F.ceil(F.col("bytes") / block).cast("long").alias("parts")))
+    at = F.when(F.col("id").isNull(), F.pmod("hash", F.lit(blocks))).otherwise(of_id)
+    if not heavy.isEmpty():
+        part = lambda salt: F.pmod(F.xxhash64("id", salt), F.lit(blocks))
+        spread = spread.join(heavy, F.col("id") == F.col("heavy"), "left")
+        at = F.when(F.col("parts").isNotNull(), part(F.pmod("hash", "parts"))).otherwise(at)
+        salts = trusted.join(heavy, F.col("id") == F.col("heavy")).select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+        marks = marks.union(salts.select(part(F.col("salt")).alias("block"), "id", held.alias("held"))).distinct()
+    spread = spread.withColumn("block", at).select("id", "text", "lang", "hash", "block")
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         used = right.filter(pc.invert(right["held"]))["id"].combine_chunks()
@@ -218,13 +235,16 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
 
     with space.tidy():
         grams = space.save(parcels(spread.select("block", "id", "text"), "block").groupBy("key").cogroup(marks.groupBy("block")).applyInArrow(count, "block long, gram string, c long"))
-        fitted = space.save(grams.where("c > 0").groupBy("gram").agg(F.sum("c").alias("c")))
+        counts = space.save(grams.groupBy("gram").agg(F.sum("c").alias("c")))  # 0 for what only other text holds
+        fitted, wanted = counts.where("c > 0"), counts.select("gram")
         if fitted.isEmpty():
             return spread.select("id", "hash", "lang", F.lit(False).alias("held"), (F.coalesce(F.char_length("text"), F.lit(0)) + 1).cast("long").alias("n"), F.lit(None).cast("double").alias("nll"))
-        wanted = space.save(grams.select("gram").distinct())
         known = probabilities(fitted, wanted, order, space)
-        # a gram that every block asks for is one row joined to as many as there are blocks
-        sent = grams.select("block", "gram").join(known, "gram").select("block", "gram", F.round(F.col("logp") * FIXED).cast("long").alias("logp"))
+        # a gram that every block asks for is one row joined to as many as there are blocks; written, so that the
+        # join's shuffle is gone before the texts are shuffled again
+        sent = space.save(grams.select("block", "gram").join(known.hint("merge"), "gram").select("block", "gram", F.round(F.col("logp") * FIXED).cast("long").alias("logp")))
+        for done in (grams, counts, known):
+            space.drop(done)
         held_ids = marks.where("held").select("block", F.lit(None).cast("string").alias("gram"), F.col("id").alias("logp"))
 
         def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -248,8 +268,7 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
 
         right = sent.union(held_ids)
         scored = space.save(parcels(spread, "block").groupBy("key").cogroup(right.groupBy("block")).applyInArrow(weigh, "id long, hash long, lang string, held boolean, n long, nll double"))
-    for done in (grams, fitted, wanted):
-        space.drop(done)
+    space.drop(sent)
     return scored
 
 

@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
+from ..session import shared_folder
+
 #: Spark's setting by which a finished query deletes its shuffle files.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder of its own; on a
-    cluster that would be a folder of one machine, so there it is an error.
-    """
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if folder:
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError(f"set {SETTING} to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set(SETTING, folder)
-    return folder
-
-
 class Workspace:
     """Parquet tables under a folder of their own; a lost executor loses none of them."""
 
@@ -51,6 +34,11 @@ class Workspace:
         out._tidemark_path = path
         return out
 
+    def named(self, df: DataFrame, table: DataFrame) -> DataFrame:
+        """``df``, which reads nothing but a saved table: dropping it drops that."""
+        df._tidemark_path = getattr(table, "_tidemark_path", None)
+        return df
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that ``save`` returned; nothing may read it later."""
         if path := getattr(df, "_tidemark_path", None):
