@@ -36,6 +36,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from ipaddress import AddressValueError, IPv6Address
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.9
+#: Weight of a vote pattern that all candidates of a kind have, against the penalty on the classifier's weights.
+WEIGHT = 1000.0
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -96,15 +99,17 @@ def base_spans(text: str) -> list[Span]:
 
 _DOT = r"\(dot\)|\[dot\]|\{dot\}| dot "
 #: After a bare " at " a full stop with a space beside it is the end of a sentence.
+#: A name longer than the 64 characters that an address may have is none.
 _WORDED_EMAIL = re.compile(
-    r"[A-Za-z0-9._%+-]{1,64} ?(?:"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:"
     rf"(?:\(at\)|\[at\]|\{{at\}}) ?[A-Za-z0-9-]{{1,63}}(?: ?(?:{_DOT}|\.) ?[A-Za-z0-9-]{{1,63}}){{1,4}}"
     rf"| at (?: )?[A-Za-z0-9-]{{1,63}}(?:(?: ?(?:{_DOT}) ?|\.)[A-Za-z0-9-]{{1,63}}){{1,4}})",
     re.I,
 )
 #: Every match of the pattern above holds one.
 _AT = re.compile(r"\(at\)|\[at\]|\{at\}| at ", re.I)
-_IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+#: Eight groups, or fewer around a double colon; ``_ipv6`` checks what this finds.
+_IPV6 = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}(?![0-9A-Za-z:])")
 _LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}([ .\-/]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:(?:\+|00)[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .\-/])[0-9]{3,4}[ .\-/][0-9]{3,4}(?![0-9])")
 _CUES = {
@@ -165,8 +170,8 @@ def candidates(text: str) -> list[Candidate]:
     loose: list[Span] = []
     if _AT.search(text):
         loose += [("email", *m.span()) for m in _WORDED_EMAIL.finditer(text)]
-    if text.count(":") >= 7:
-        loose += [("ip", *m.span()) for m in _IPV6.finditer(text)]
+    if text.count(":") >= 2:
+        loose += [("ip", *m.span()) for m in _IPV6.finditer(text) if _ipv6(m[0])]
     if _DIGIT.search(text):
         loose += [("card", *m.span()) for m in _LOOSE_CARD.finditer(text) if 13 <= len(_digits(m[0])) <= 19]
         loose += [("phone", *m.span()) for m in _LOOSE_PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
@@ -177,6 +182,17 @@ def candidates(text: str) -> list[Candidate]:
     return out
 
 
+def _ipv6(text: str) -> bool:
+    """Whether it is an address of the standard's forms with a group beside the double colon."""
+    if not any(c not in ":0" for c in text):
+        return False
+    try:
+        IPv6Address(text)
+    except AddressValueError:
+        return False
+    return True
+
+
 def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
     """Whether [a, b) meets one of the sorted spans, of which few overlap."""
     at = bisect_left(taken, (b, 0))
@@ -239,8 +255,12 @@ def fit(counts: Counter, steps: int = 300, penalty: float = 0.5) -> Classifier:
     if not keys:
         return Classifier((0.0,) * (len(KINDS) * 35))
     x = np.stack([_features(k) for k in keys])
-    n, y = np.array([counts[k] for k in keys], dtype=float), np.array([chance[k] for k in keys])
-    n = np.minimum(n, 1000.0) + np.log1p(n)  # a pattern met a million times shouldn't silence the others
+    y = np.array([chance[k] for k in keys])
+    totals = Counter()
+    for k in keys:
+        totals[k.split(":")[0]] += counts[k]
+    # by the root of a pattern's share of its kind: a frequent one doesn't silence the others, and the fit is the same at every size
+    n = WEIGHT * np.sqrt([counts[k] / totals[k.split(":")[0]] for k in keys])
     w = np.zeros(x.shape[1])
     for _ in range(steps):  # Newton steps; the problem has 140 weights
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
@@ -276,10 +296,11 @@ def all_spans(text: str, classifier: Classifier, threshold: float = THRESHOLD) -
     base = [(c.kind, c.start, c.end) for c in found if c.base]
     added: list[Span] = []
     ranked = sorted(((-_probability(classifier, c.key), c.start, c.end, c.kind) for c in found if not c.base))
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # sorted, and no two overlap
     for minus, a, b, kind in ranked:
-        if -minus >= threshold and not any(x < b and y > a for x, y in taken):
-            taken.append((a, b))
+        at = bisect_left(taken, (a, b))
+        if -minus >= threshold and (not at or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+            taken.insert(at, (a, b))
             added.append((kind, a, b))
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
