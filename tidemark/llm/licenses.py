@@ -28,6 +28,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -116,8 +117,10 @@ class Scanner:
         kept: list[Match] = []
         ends: dict[str, list[tuple[int, int]]] = {}
         for m in sorted(found, key=lambda m: (m.label, m.errors / m.length, m.start, -m.end)):
-            if all(m.end <= a or m.start >= b for a, b in ends.get(m.label, ())):
-                ends.setdefault(m.label, []).append((m.start, m.end))
+            own = ends.setdefault(m.label, [])  # sorted, and no two overlap
+            at = bisect_left(own, (m.start, m.end))
+            if (not at or own[at - 1][1] <= m.start) and (at == len(own) or m.end <= own[at][0]):
+                own.insert(at, (m.start, m.end))
                 kept.append(m)
         return sorted(kept, key=lambda m: (m.start, m.end, m.label))
 
@@ -150,9 +153,11 @@ def scan(text: str, scanner: Scanner, phrases: Sequence[tuple[str, str]] = PHRAS
     matches = scanner.search(joined)
     if matches:
         spans = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
-        word = [joined.count(" ", 0, m.start) for m in matches]
-        last = [joined.count(" ", 0, m.end) for m in matches]
-        matches = [Match(m.label, spans[a][0], spans[b][1], m.errors, m.length) for m, a, b in zip(matches, word, last)]
+        word, seen, before = {}, 0, 0
+        for at in sorted({x for m in matches for x in (m.start, m.end)}):  # one running count of the words before
+            before += joined.count(" ", seen, at)
+            word[at], seen = before, at
+        matches = [Match(m.label, spans[word[m.start]][0], spans[word[m.end]][1], m.errors, m.length) for m in matches]
     return Scan(len(words), sorted(places), matches)
 
 
