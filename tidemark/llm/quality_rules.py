@@ -14,14 +14,16 @@ Model
     labelled rows (``sample`` of each class, those with the smallest hash of
     their id, so the same rows at any partitioning), scaled by each feature's
     root mean square, with an L2 penalty; a quarter of the sample is held out to
-    calibrate the probability (Platt).  Weights are fixed-point integers, so a
+    calibrate the probability (Platt); where it lacks a class, the training rows
+    calibrate.  Weights are fixed-point integers, so a
     score doesn't depend on how rows were batched.  Every row is scored, in Arrow
     batches, against a fixed threshold.
 
 Defined results
     A null or empty text has no words and fails the base rules.  Rows that
     repeat an id each get a row.  A labelled id with several labels counts as
-    its smallest label.  Without labelled rows of both classes the probability
+    its smallest label; of its rows the one with the smallest text hash is learnt
+    from.  Without labelled rows of both classes the probability
     is 1 and only base rules reject.  An empty table gives no rows.
 """
 
@@ -225,8 +227,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 at += len(some)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(columns, pa.list_(pa.int16())), pa.array(values, pa.list_(pa.float32()))], names=["id", "label", "columns", "values"])
 
-    # sample * 2 ids at most: a proven bound, so the texts needn't be shuffled
-    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
+    # sample * 2 ids at most: a proven bound, so the texts needn't be shuffled; of an id's rows one is learnt from
+    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    source = source.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found = source.mapInArrow(run, "id long, label int, columns array<short>, values array<float>").toArrow().combine_chunks()
     return fit(found)
 
