@@ -5,10 +5,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_jaccard import brute_kept
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from tidemark.llm import pii, quality_rules, simhash
+from tidemark.llm import pii, quality_rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,8 +40,7 @@ def test_columns_and_decisions(spark, stages):
     model = quality_rules.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     verdict = rows(quality_rules.score(stages[1], model))
     assert set(second) == {d for d in first if verdict[d].kept}
-    groups = rows(simhash.near_duplicates(stages[2]))
-    assert set(third) == {r.component_id for r in groups.values()}
+    assert sorted(third) == brute_kept([(d, r.text) for d, r in second.items()])
     assert set(fourth) == set(third)
     for d, r in fourth.items():
         assert pii.base_spans(r.text) == [] and r.n_chars == len(r.text)
@@ -75,3 +75,17 @@ def test_nulls_repeats_and_empty(spark, tmp_path):
         some.coalesce(1).write.parquet(f"{folder}/documents.parquet")
         spark.read.parquet(f"{SF}/labels.parquet").where(F.lit(name == "odd")).coalesce(1).write.parquet(f"{folder}/labels.parquet")
         assert (cp.run(spark, str(folder)).count() > 0) == (name == "odd")
+
+
+def test_columns_with_clashing_names(spark):
+    """Columns named as those that the stages work with stay, and change no decision."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    names = ("id", "hash", "block", "gram", "kept", "set", "n", "fp", "comp", "prefix", "key", "of", "spans", "base", "w", "__own")
+    clash = docs.select("*", *[F.lit("x").alias(n) for n in names])
+    for _, stage in cp.STAGES[:-1]:
+        plain, more = stage(spark, docs, SF), stage(spark, clash, SF)
+        assert more.columns == clash.columns
+        assert sorted(map(tuple, more.select(docs.columns).collect())) == sorted(map(tuple, plain.collect()))
+        assert all(r[n] == "x" for r in more.collect() for n in names)
+    clash = docs.select("*", *[F.lit("x").alias(n) for n in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset", "row", "doc")])
+    assert cp.sequences(spark, clash, SF).columns == cp.sequences(spark, docs, SF).columns
