@@ -47,4 +47,6 @@ def propagate(nodes: DataFrame, edges: DataFrame, space: Workspace) -> DataFrame
         space.drop(now)
         now = then
     roots = now.groupBy("src").agg(F.min("dst").alias("comp"))
-    return space.save(nodes.join(roots, F.col(name) == F.col("src"), "left").select(name, F.coalesce("comp", name).alias("comp")))
+    out = space.save(nodes.join(roots, F.col(name) == F.col("src"), "left").select(name, F.coalesce("comp", name).alias("comp")))
+    space.drop(now)
+    return out

@@ -131,13 +131,16 @@ def link(fps: DataFrame, distance: int, space: Workspace) -> DataFrame:
     exact = _exact(nodes, distance)
     hubs = exact.groupBy("key").agg(F.min("fp").alias("hub"))
     stars = exact.join(hubs, "key").where((F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= distance)).select(F.col("fp").alias("src"), F.col("hub").alias("dst")).distinct()
-    first = propagate(fps.select("fp"), space.save(stars), space)
+    stars = space.save(stars)
+    first = propagate(fps.select("fp"), stars, space)
+    space.drop(stars)
     exact, zeros, ones = _exact(first, distance), _variants(first, distance, 0), _variants(first, distance, 1)
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & _near(distance)
     ends = [F.least("a.comp", "b.comp").alias("src"), F.greatest("a.comp", "b.comp").alias("dst")]
     pairs = exact.alias("a").join(exact.alias("b"), same & (F.col("a.fp") < F.col("b.fp"))).select(*ends).union(zeros.alias("a").join(ones.alias("b"), same).select(*ends))
     edges = space.save(pairs.distinct())
     second = propagate(first.select(F.col("comp").alias("fp")).distinct(), edges, space)
+    space.drop(edges)
     return first.alias("f").join(second.alias("s"), F.col("f.comp") == F.col("s.fp")).select("f.fp", "s.comp")
 
 
@@ -160,6 +163,8 @@ def _classes(fps: DataFrame, distance: int, space: Workspace) -> DataFrame:
     comps = space.save(link(nodes.select("fp"), distance, space))
     names = comps.join(nodes, "fp").groupBy("comp").agg(F.min("least").alias("component_id"))
     named = space.save(comps.join(names, "comp").select("fp", F.col("comp").alias("component"), "component_id"))
+    for done in (nodes, comps):
+        space.drop(done)
     return fps.join(named, "fp")
 
 
