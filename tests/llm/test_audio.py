@@ -1,5 +1,6 @@
 import hashlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -100,4 +101,58 @@ def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = op4_chroma(spark, sf).collect()
-    assert sorted(map(tuple, got), key=repr) == brute_search(rows, FORM, lambda i: i % 50 == 0)
+    assert sorted(map(tuple, got), key=repr) == brute_search(rows, replace(FORM, least=8), lambda i: i % 50 == 0)
+    copies = {}
+    for r, (_, text) in zip(sorted(got), sorted(rows)):
+        assert (r.class_id is None) == (not text) and (not text or r.n_ints >= 8)
+        assert copies.setdefault(text, r.class_id) == r.class_id
+
+
+def test_short_recordings_are_played_again():
+    form = replace(FORM, least=8)
+    short = b"a few bytes only"
+    (own,) = audio.fingerprint_all([short], form)
+    needed = form.frame + form.hop * (audio.SPAN + 6)
+    assert len(own) == 8 and own.tolist() == audio.fingerprint_all([(short * 200)[:needed]], FORM)[0].tolist()
+    assert [len(x) for x in audio.fingerprint_all([b"", b"x" * needed], form)] == [0, 8]
+
+
+def test_a_key_that_many_share_is_split(spark, monkeypatch):
+    rows = [(k, b"\x80" * 2000 + bytes((k * j * j) % 251 for j in range(2500)) + b"\x80" * 500) for k in range(40)]
+    media = spark.createDataFrame(rows, "doc_id long, pcm binary")
+    monkeypatch.setattr(audio, "HOT", 5)
+    got = audio.search(media, "doc_id", "pcm", F.col("doc_id") % 10 == 0, FORM)
+    want = brute_search(rows, FORM, lambda i: i % 10 == 0)
+    assert sorted(map(tuple, got.collect()), key=repr) == want and any(r[4] for r in want)
+
+
+def test_recordings_handled_together_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(audio, "BYTES", 10)
+    column = pa.array([b"a" * 4, None, b"b" * 7, b"c" * 30, b"", b"d" * 10], pa.binary())
+    runs = list(audio._together(column))
+    assert runs == [(0, 2), (2, 1), (3, 1), (4, 2)] and list(audio._together(column.slice(0, 0))) == []
+
+
+def test_recall_against_all_shifts(spark):
+    """Noisy, quieter and cut copies of tunes: every alignment that all shifts give, with half a recording in common."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(8):
+        wave = tune(20 + k, 12)
+        rows.append((50 * k, pcm(wave)))
+        for j in range(4):
+            cut = wave[WIDE.hop * int(rng.integers(0, 25)) + int(rng.integers(0, 40)) :]
+            rows.append((50 * k + 1 + j, pcm((0.4 + 0.2 * j) * cut + 0.01 * rng.standard_normal(len(cut)))))
+    prints = {i: p.view(np.int32) for i, p in zip([i for i, _ in rows], audio.fingerprint_all([r for _, r in rows], WIDE))}
+    want = set()
+    for a in (i for i in prints if i % 50 == 0):
+        for b in (i for i in prints if i != a):
+            for shift in range(-len(prints[b]), len(prints[a])):
+                n, bits = audio.bit_error(prints[a], prints[b], shift)
+                if n >= 30 and bits <= 0.2 * 32 * n:
+                    want.add((a, b))
+    got = audio.search(spark.createDataFrame(rows, "doc_id long, pcm binary"), "doc_id", "pcm", F.col("doc_id") % 50 == 0, WIDE)
+    found = {(r.best_query, r.doc_id) for r in got.collect() if r.n_links}
+    assert len(want) >= 30 and len(want & found) >= 0.9 * len(want)

@@ -18,12 +18,13 @@ Alignment
     overlap of ``overlap`` integers and a bit error rate of at most ``errors``.
 
 Scale
-    Seeds are joined on equality, counted before anything else is shipped, and
-    only pairs that reach ``votes`` fetch fingerprints; there is no cap on
+    Seeds are joined on equality, a key with more than ``HOT`` of them in parts;
+    they are counted before anything else is shipped, and only pairs that reach ``votes`` fetch fingerprints; there is no cap on
     partners.  Equal recordings, thousands of them, are one class.
 
 Defined results
-    A null or too short recording has no integers and no class.  Rows that
+    A null or empty recording has no integers and no class, nor has one too short
+    for a window, unless the format's ``least`` asks for some.  Rows that
     repeat an id are recordings of their own with the same id.  Every input row
     gives one row; an empty table gives none.
 """
@@ -35,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +65,10 @@ FILTERS = (
 #: Log ratios that part the four codes of a filter.
 CUTS = (-0.12, 0.0, 0.12)
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
-#: Frames whose spectra are held at once.
-FRAMES = 1 << 14
+#: Samples of frames whose spectra are held at once, and bytes of recordings handled together.
+SAMPLES, BYTES = 1 << 22, 1 << 22
+#: Seeds of one key that one task meets; a key with more is split.
+HOT = 100_000
 
 
 @dataclass(frozen=True)
@@ -77,34 +81,53 @@ class Format:
     bits: int = 16
     low: float = 65.0
     high: float = 3520.0
+    #: Integers that every recording with a sample gets: a shorter one is played again until it has them.
+    least: int = 0
+
+    def whole(self, sound: np.ndarray) -> np.ndarray:
+        """The samples, repeated if there are too few for ``least`` integers."""
+        needed = self.frame + self.hop * (SPAN + self.least - 2) if self.least else 0
+        return np.resize(sound, needed) if 0 < len(sound) < needed else sound
 
     def samples(self, pcm: bytes) -> np.ndarray:
         if self.bits == 8:
             return np.frombuffer(pcm, dtype=np.uint8).astype(np.float32) - 128
         return np.frombuffer(pcm[: len(pcm) // 2 * 2], dtype="<i2").astype(np.float32)
 
-    def classes(self) -> np.ndarray:
-        """The pitch class of each bin of the spectrum, one column per class."""
+    def classes(self) -> list[np.ndarray]:
+        """The bins of the spectrum of each pitch class."""
         frequency = np.arange(self.frame // 2 + 1) * self.rate / self.frame
-        out = np.zeros((len(frequency), 12), dtype=np.float32)
-        for k, f in enumerate(frequency):
-            if self.low <= f <= self.high:
-                out[k, int(round(12 * np.log2(f / 440.0))) % 12] = 1
-        return out
+        heard = np.flatnonzero((frequency >= self.low) & (frequency <= self.high))
+        pitch = np.rint(12 * np.log2(frequency[heard] / 440.0)).astype(int) % 12
+        return [heard[pitch == k] for k in range(12)]
+
+    def fixed(self) -> float:
+        """The factor under which a spectrum's powers add up within 60 bits."""
+        return 2.0 ** (60 - 2 * (self.bits - 1) - 2 * int(np.ceil(np.log2(self.frame))))
 
 
 def chroma(samples: np.ndarray, starts: np.ndarray, form: Format) -> np.ndarray:
-    """Twelve pitch classes, of length one, of the frame at each start."""
-    out = np.zeros((len(starts), 12), dtype=np.float32)
+    """Twelve pitch classes, of length one, of the frame at each start.
+
+    Powers are added as integers: a frame's classes don't depend on the frames
+    that are handled with it.
+    """
+    out = np.zeros((len(starts), 12))
     if not len(starts):
         return out
     windows = np.lib.stride_tricks.sliding_window_view(samples, form.frame)
-    taper, fold = np.hanning(form.frame).astype(np.float32), form.classes()
-    for k in range(0, len(starts), FRAMES):
-        spectrum = np.fft.rfft(windows[starts[k : k + FRAMES]] * taper)
-        out[k : k + FRAMES] = (spectrum.real**2 + spectrum.imag**2) @ fold
-    norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
-    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-6)
+    taper, bins, scale = np.hanning(form.frame).astype(np.float32), form.classes(), form.fixed()
+    step = max(1, SAMPLES // form.frame)
+    for k in range(0, len(starts), step):
+        spectrum = np.fft.rfft(windows[starts[k : k + step]] * taper)
+        power = np.rint((spectrum.real.astype(np.float64) ** 2 + spectrum.imag.astype(np.float64) ** 2) * scale).astype(np.int64)
+        for pitch, own in enumerate(bins):
+            out[k : k + step, pitch] = power[:, own].sum(axis=1)
+    squares = out[:, :1] * out[:, :1]
+    for pitch in range(1, 12):
+        squares = squares + out[:, pitch : pitch + 1] * out[:, pitch : pitch + 1]
+    norm = np.sqrt(squares)
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-6 * scale)
 
 
 def packed(image: np.ndarray) -> np.ndarray:
@@ -140,7 +163,7 @@ def packed(image: np.ndarray) -> np.ndarray:
 
 def fingerprint_all(recordings: list[bytes], form: Format) -> list[np.ndarray]:
     """The integers of each recording; frames of all of them are transformed together."""
-    sounds = [form.samples(r) for r in recordings]
+    sounds = [form.whole(form.samples(r)) for r in recordings]
     frames = [max(0, (len(s) - form.frame) // form.hop + 1) for s in sounds]
     offsets = np.cumsum([0, *map(len, sounds)])
     starts = np.concatenate([np.zeros(0, dtype=np.int64), *(o + form.hop * np.arange(n) for o, n in zip(offsets, frames))]).astype(np.int64)
@@ -155,8 +178,8 @@ def fingerprints(media: DataFrame, id_col: str, pcm_col: str, form: Format) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
+            for k, n in _together(whole.column(1)):
+                batch = whole.slice(k, n)
                 ints = fingerprint_all([x or b"" for x in batch.column(1).to_pylist()], form)
                 ends = np.cumsum([0, *map(len, ints)])
                 flat = np.concatenate([np.zeros(0, dtype=np.uint32), *ints]).view(np.int32)
@@ -166,6 +189,19 @@ def fingerprints(media: DataFrame, id_col: str, pcm_col: str, form: Format) -> D
     return source.mapInArrow(run, "id long, ints array<int>")
 
 
+def _together(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of rows bounded in bytes; a larger recording is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    first = size = 0
+    for k, own in enumerate(sizes):
+        if k > first and size + own > BYTES:
+            yield first, k - first
+            first, size = k, 0
+        size += own
+    if first < len(sizes):
+        yield first, len(sizes) - first
+
+
 def _seeds(classes: DataFrame) -> DataFrame:
     """(of, key, at): two neighbouring integers as a long, where the first begins a run."""
 
@@ -198,10 +234,21 @@ def align(classes: DataFrame, asking: DataFrame, *, votes: int, overlap: int, er
     """
     seeds = space.save(_seeds(classes))
     of_queries = seeds.join(asking.select(F.col("class").alias("of")), "of", "left_semi")
-    pairs = of_queries.alias("q").join(seeds.alias("d"), (F.col("q.key") == F.col("d.key")) & (F.col("q.of") != F.col("d.of")))
+    asked = of_queries.select("key").distinct()
+    hot = space.save(seeds.join(asked, "key", "left_semi").groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select(F.col("key").alias("hot"), F.ceil(F.col("k") / HOT).cast("long").alias("parts")))
+    left, right, same = of_queries, seeds, (F.col("q.key") == F.col("d.key")) & (F.col("q.of") != F.col("d.of"))
+    if not hot.isEmpty():
+        # a key that very many recordings share (silence): its seeds are split, and meet the queries' in each part
+        none = F.lit(1).cast("long")
+        left = left.join(hot, F.col("key") == F.col("hot"), "left").select("of", "key", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", none) - 1)).alias("part"))
+        right = right.join(hot, F.col("key") == F.col("hot"), "left").select("of", "key", "at", F.pmod(F.xxhash64("of", "at"), F.coalesce("parts", none)).alias("part"))
+        same = same & (F.col("q.part") == F.col("d.part"))
+    pairs = left.alias("q").join(right.alias("d"), same)
     histogram = pairs.select(F.col("q.of").alias("query"), F.col("d.of").alias("found"), (F.col("q.at") - F.col("d.at")).alias("shift")).groupBy("query", "found", "shift").agg(F.count("*").alias("hits"))
     best = histogram.groupBy("query", "found").agg(F.min_by(F.struct("shift", "hits"), F.struct(-F.col("hits"), F.abs("shift"), "shift")).alias("b")).select("query", "found", "b.shift", "b.hits").where(F.col("hits") >= votes)
     best = space.save(best)
+    for done in (seeds, hot):
+        space.drop(done)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +275,7 @@ def search(media: DataFrame, id_col: str, pcm_col: str, is_query: Column, form:
     named = space.save(printed.withColumn("fingerprint", F.sha2(F.array_join("ints", ",").cast("binary"), 256)))
     some = named.where(F.size("ints") > 0)
     grouped = some.groupBy("fingerprint").agg(F.min("id").alias("class_id"), F.any_value("ints").alias("ints")).where("class_id is not null")
-    classes = space.save(grouped.withColumn("class", F.xxhash64("fingerprint")))  # an id may repeat, so it can't name a class
+    classes = space.save(grouped.withColumn("class", F.monotonically_increasing_id()))  # an id may repeat, so it can't name a class
     queried = some.select(F.col("id").alias(id_col), "fingerprint").where(is_query).select("fingerprint").distinct()
     asking = space.save(classes.join(queried, "fingerprint", "left_semi").select("class", F.col("class_id").alias("query_id")))
     links = space.save(align(classes, asking, votes=votes, overlap=overlap, errors=errors, space=space))

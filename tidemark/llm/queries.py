@@ -84,14 +84,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no sound, so each document's bytes are played as 8-bit samples at 8 kHz, whole.
 
-    Frames are 32 ms, since most documents last under half a second.  Queries
-    are the documents whose id is divisible by 50.
+    Frames are 32 ms, since most documents last under half a second; those too
+    short for the overlap that a link needs are played again until they have it.
+    Queries are the documents whose id is divisible by 50.
     """
     from pyspark.sql import functions as F
 
     from .audio import Format, search
 
-    form = Format(rate=8000, frame=256, hop=64, bits=8, low=100.0, high=3600.0)
+    form = Format(rate=8000, frame=256, hop=64, bits=8, low=100.0, high=3600.0, least=8)
     media = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("pcm"))
     return search(media, "doc_id", "pcm", F.col("doc_id") % 50 == 0, form)
 
