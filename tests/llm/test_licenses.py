@@ -101,3 +101,16 @@ def test_edge_cases(spark):
     last = next(r for r in got if r.doc_id is None)
     assert (last.n_words, last.first_word, last.base_labels, last.score) == (100004, 100000, "gpl", 1.0)
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_very_many_matches_in_one_text():
+    import time
+
+    from tidemark.llm.licenses import NOTICES, Scanner, scan
+
+    text, began = "released under the mit license x1 " * 20_000, time.perf_counter()
+    found = scan(text, Scanner(NOTICES))
+    assert time.perf_counter() - began < 30
+    mit = [m for m in found.matches if m.label == "mit"]
+    assert len(found.places) == 20_000 and len(mit) == 20_000
+    assert all(a.end <= b.start for a, b in zip(mit, mit[1:])) and text[mit[-1].start : mit[-1].end] == "released under the mit license"

@@ -106,3 +106,46 @@ def test_redaction_and_edge_cases(spark):
     empty = docs.limit(0)
     assert pii.find(empty).count() == 0 and pii.redact(empty).count() == 0
     assert pii.all_spans("a@b.co", pii.fit(Counter()))[1] == [("email", 0, 6)]
+
+
+def test_every_form_of_a_pattern_is_proposed():
+    from tidemark.llm.pii import candidates
+
+    for text in ("joe (AT) example.org", "joe {at} example.org", "joe [At] example {dot} org", "at 2001:db8::1 now", "from ::1, then", "fe80:0:0:0:1:2:3:4 x", "joe at example dot org"):
+        assert [c for c in candidates(text) if not c.base], text
+    for text in ("12:34:56 at noon", "a::b", "std::vector", "::", "0:0", "n" * 70 + " (at) example.org"):
+        assert not candidates(text), text
+
+
+def test_planted_data_is_added(spark):
+    rows = []
+    for k in range(300):
+        rows.append((k, f"Some prose about {k} things. Write to anna{k} (at) mail{k % 9} (dot) org, or call +49 30 90{k % 10}1234{k % 10}. The host 10.1.{k % 200}.7 answered."))
+        rows.append((1000 + k, f"Our server address 2001:db8::{k + 1:x} is down; version 1.2.3.{k % 250} of item 12 34 is old."))
+        rows.append((2000 + k, f"Plain words, {k} of them, without anything that concerns a person."))
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = {d: [s.kind for s in r.spans if s not in r.base] for d, r in found.items()}
+    assert sum("email" in added[k] for k in range(300)) >= 290 and sum("ip" in added[1000 + k] for k in range(300)) >= 290
+    assert not any(added[2000 + k] for k in range(300))
+
+
+def test_the_fit_depends_on_shares_only():
+    from collections import Counter
+
+    from tidemark.llm.pii import candidates, fit
+
+    counts = Counter(c.key for k in range(50) for c in candidates(f"tel 030 123 45{k:02} or a{k} (at) b.org, host 10.0.0.{k}"))
+    small, large = fit(Counter({k: 100 * n for k, n in counts.items()})), fit(Counter({k: 100_000 * n for k, n in counts.items()}))
+    assert all(abs(small.probability(k) - large.probability(k)) < 0.02 for k in counts)
+
+
+def test_very_many_spans_in_one_text():
+    import time
+
+    from tidemark.llm.pii import all_spans, fit, candidates
+    from collections import Counter
+
+    text, began = "call 030 123 4567 today; " * 40_000, time.perf_counter()
+    model = fit(Counter(c.key for c in candidates(text)))
+    all_spans(text, model, 0.0)
+    assert time.perf_counter() - began < 40

@@ -183,8 +183,8 @@ def candidates(text: str) -> list[Candidate]:
 
 
 def _ipv6(text: str) -> bool:
-    """Whether it is an address of the standard's forms with a group beside the double colon."""
-    if not any(c not in ":0" for c in text):
+    """Whether it is an address of the standard's forms, with a digit and not all zero; ``a::b`` is more often code."""
+    if not text.strip(":0") or not any(c.isdigit() for c in text):
         return False
     try:
         IPv6Address(text)
