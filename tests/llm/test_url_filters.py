@@ -30,7 +30,7 @@ def sql(spark_dir):
     return con.execute(OP2_SQL).fetchall()
 
 
-URLS = [None, "", "no scheme", "http://", "://x", "HTTP://WWW.Example.COM/en/1?a#b", "http://example.com/en/2", "http://a.example.com/en", "http://a.example.com/en/3", "ftp://notexample.com/x", "http://x.net/fr/4", "http://x.net/FR/4", "http://net/es/", "http://x.com", "http://x.com?q/5", "a://b://c.net/es/6", "http://x.com:80/7", "http://Ü.net/es/8", "http://x.co.uk/9", "http://bad.org/10", "http://www.bad.org/11", "http://bad.org/12", "http://line\nend.net/fr/x"]
+URLS = [None, "", "no scheme", "http://", "://x", "HTTP://WWW.Example.COM/en/1?a#b", "http://example.com/en/2", "http://a.example.com/en", "http://a.example.com/en/3", "ftp://notexample.com/x", "http://x.net/fr/4", "http://x.net/FR/4", "http://net/es/", "http://x.com", "http://x.com?q/5", "a://b://c.net/es/6", "http://x.com:80/7", "http://Ü.net/es/8", "http://x.co.uk/9", "http://bad.org/10", "http://www.bad.org/11", "http://bad.org/12", "http://line\nend.net/fr/x", "http://10.0.0.1/10", "http://99.9.0.1:8080/14", "http://99.9.0.1/14", "http://bad.org./10", "http://localhost/11"]
 
 
 def tables(spark, folder, labels):
@@ -82,3 +82,14 @@ def test_shrinkage(spark):
 def test_empty(spark):
     pages, none = spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "ref long, bad boolean")
     assert u.filter_urls(pages, none, F.expr(REF)).count() == 0
+
+
+def test_numbers_last_stops_and_single_labels(spark):
+    hosts = ["10.0.0.1", "99.9.0.1:80", "a.b.co.uk.", "localhost", "1.2.3", "x.1.2.3.4", ""]
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", *u.domains(F.col("host"))).collect()
+    assert [tuple(r)[1:] for r in got] == [("10.0.0.1", u.NUMBER), ("99.9.0.1", u.NUMBER), ("b.co.uk", "co.uk"), ("localhost", "localhost"), ("2.3", "3"), ("3.4", "4"), ("", "")]
+    own = spark.createDataFrame([("a.b.tv.example",)], "host string").select(*u.domains(F.col("host"), ["tv.example"])).first()
+    assert tuple(own) == ("b.tv.example", "tv.example")
+    counts = spark.createDataFrame([("10.0.0.1", 90, 90, 90), ("99.9.0.1", 90, 90, 0)], "host string, pages long, n long, bad long")
+    rated = {r.host: r.mean for r in u.reputations(counts).collect()}
+    assert rated["10.0.0.1"] > 0.5 > rated["99.9.0.1"]

@@ -40,11 +40,11 @@ o AS (SELECT doc_id AS ref, CAST(bool_or(coalesce(quality, 1) = 0 OR coalesce(to
       FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 c AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad
       FROM p LEFT JOIN o ON o.ref = try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') AS BIGINT) GROUP BY host),
-b AS (SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM c),
-t AS (SELECT *, array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'ne.jp', 'or.jp',
+b AS (SELECT *, string_split(regexp_replace(regexp_replace(host, ':[0-9]*$', ''), '[.]$', ''), '.') AS l FROM c),
+t AS (SELECT *, regexp_full_match(array_to_string(l, '.'), '[0-9]+([.][0-9]+){3}') AS number, array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'ne.jp', 'or.jp',
              'com.br', 'com.cn', 'com.mx', 'co.in', 'co.nz', 'co.za', 'com.tr', 'com.ar') AS two FROM b),
-named AS (SELECT host, n, bad, array_to_string(CASE WHEN two THEN l[-3:] ELSE l[-2:] END, '.') AS domain,
-                 array_to_string(CASE WHEN two THEN l[-2:] ELSE l[-1:] END, '.') AS suffix FROM t),
+named AS (SELECT host, n, bad, array_to_string(CASE WHEN number THEN l WHEN two THEN l[-3:] ELSE l[-2:] END, '.') AS domain,
+                 CASE WHEN number THEN '(number)' ELSE array_to_string(CASE WHEN two THEN l[-2:] ELSE l[-1:] END, '.') END AS suffix FROM t),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
 levels AS (SELECT 'h' AS level, n, bad FROM named UNION ALL SELECT 'd', n, bad FROM d UNION ALL SELECT 's', n, bad FROM s),

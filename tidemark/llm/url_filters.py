@@ -47,6 +47,8 @@ HOT = 1000
 WEAKEST, STRONGEST = 1.0, 1000.0
 #: Suffixes of two labels under which names are registered.
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "co.in", "co.nz", "co.za", "com.tr", "com.ar")
+#: The suffix of hosts that are four numbers.
+NUMBER = "(number)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,12 +72,17 @@ def rule_columns(rules: Sequence[tuple[str, str]] = RULES) -> tuple[Column, Colu
     return names, verdicts
 
 
-def domains(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host; a port doesn't count."""
-    bare = F.regexp_replace(host, ":[0-9]*$", "")
+def domains(host: Column, two_labels: Sequence[str] = TWO_LABELS) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host; neither a port nor a last full stop counts.
+
+    An address of four numbers is a domain of its own, under the suffix that all
+    of them share; a host of one label is domain and suffix.
+    """
+    bare = F.regexp_replace(F.regexp_replace(host, ":[0-9]*$", ""), "[.]$", "")
     two = F.substring_index(bare, ".", -2)
-    pair = two.isin(*TWO_LABELS)
-    return F.when(pair, F.substring_index(bare, ".", -3)).otherwise(two), F.when(pair, two).otherwise(F.substring_index(bare, ".", -1))
+    number, pair = bare.rlike(r"\A[0-9]+([.][0-9]+){3}\z"), two.isin(*two_labels)
+    domain = F.when(number, bare).when(pair, F.substring_index(bare, ".", -3)).otherwise(two)
+    return domain, F.when(number, F.lit(NUMBER)).when(pair, two).otherwise(F.substring_index(bare, ".", -1))
 
 
 def strength(level: DataFrame) -> float:
@@ -90,9 +97,9 @@ def strength(level: DataFrame) -> float:
     return min(STRONGEST, max(WEAKEST, 1 / rho - 1)) if rho > 0 else STRONGEST
 
 
-def reputations(counts: DataFrame, *, z: float = Z) -> DataFrame:
+def reputations(counts: DataFrame, *, z: float = Z, two_labels: Sequence[str] = TWO_LABELS) -> DataFrame:
     """``counts`` (host, pages, n, bad) with the posterior's mean and lower bound."""
-    named = reduce(lambda df, c: df.withColumn(*c), zip(("domain", "suffix"), domains(F.col("host"))), counts)
+    named = reduce(lambda df, c: df.withColumn(*c), zip(("domain", "suffix"), domains(F.col("host"), two_labels)), counts)
     by_domain = named.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     n, bad = by_suffix.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
@@ -107,7 +114,7 @@ def reputations(counts: DataFrame, *, z: float = Z) -> DataFrame:
     return named.join(of_domain, "domain").withColumn("pd", pd).select("host", "pages", (a / (a + b)).alias("mean"), (a / (a + b) - z * deviation).alias("lower"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, reference: Column, id_col: str = "page_id", url_col: str = "url", *, rules: Sequence[tuple[str, str]] = RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, reference: Column, id_col: str = "page_id", url_col: str = "url", *, rules: Sequence[tuple[str, str]] = RULES, limit: float = LIMIT, z: float = Z, two_labels: Sequence[str] = TWO_LABELS) -> DataFrame:
     """id_col, host, path, rule and verdict of every row of ``pages``.
 
     ``outcomes`` has different values of ref, and bad (boolean); ``reference`` is
@@ -120,7 +127,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, reference: Column, id_col
     known = outcomes.select(F.col("ref").alias("__tm_ref"), F.col("bad").cast("long").alias("bad"))
     counts = seen.join(known, F.col("ref") == F.col("__tm_ref"), "left").groupBy("host").agg(F.sum("pages").alias("pages"), F.sum(F.when(F.col("bad").isNotNull(), F.col("pages")).otherwise(0)).alias("n"), F.coalesce(F.sum(F.col("bad") * F.col("pages")), F.lit(0)).alias("bad"))
     counts = space.save(counts)
-    hosts = space.save(reputations(counts, z=z))
+    hosts = space.save(reputations(counts, z=z, two_labels=two_labels))
     total = hosts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
     hot = F.col("pages") * HOT > F.lit(total)
     few = F.broadcast(hosts.where(hot).select(F.col("host").alias("__tm_host"), F.col("lower").alias("hot_lower")))  # fewer than HOT rows
