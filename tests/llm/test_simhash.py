@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from tidemark.llm.simhash import fingerprint, keep_one, near_duplicates, segments
+from tidemark.llm.simhash import choices, fingerprint, keep_one, link, near_duplicates, segments, together
 
 SCHEMA = "doc_id long, text string, component long, fp string"
 
@@ -89,3 +89,33 @@ def test_keep_one_keeps_columns_and_one_of_each_group(spark):
     kept = keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 7]
+
+
+@pytest.mark.parametrize("distance, m", [(4, 1), (4, 2), (4, 3), (4, 4), (3, 2), (6, 2)])
+def test_some_choice_differs_by_one_bit_at_most(distance, m):
+    rng = random.Random(distance * 10 + m)
+    options = choices(distance, m)
+    assert all(sum(b for _, b in c) <= 48 for c in options) and len(options) * 65 < 1 << 15
+    for _ in range(3000):
+        flipped = {rng.randrange(64) for _ in range(distance)}
+        assert any(sum(a <= f < a + b for f in flipped for a, b in c) <= 1 for c in options)
+
+
+def test_wider_keys_give_the_same_links(spark):
+    from tidemark.llm.store import Workspace
+
+    rng = random.Random(8)
+    fps = {0, -1}
+    for _ in range(30):
+        base = rng.getrandbits(64)
+        for _ in range(4):
+            for _ in range(rng.randint(0, 3)):
+                base ^= 1 << rng.randrange(64)
+            fps.add(base - (1 << 64) if base >> 63 else base)
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+    one, two = (sorted(map(tuple, link(frame, 4, Workspace(spark), m).collect())) for m in (1, 2))
+    assert one == two and len(one) == len(fps)
+
+
+def test_keys_grow_with_the_number_of_fingerprints():
+    assert together(1000, 4) == together(1_000_000, 4) == 1 and together(10**8, 4) >= 2 and together(10**11, 4) == 4

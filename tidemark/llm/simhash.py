@@ -16,6 +16,10 @@ Linking
     deleted-bit key, on opposite sides of the join, so no pair meets twice in a
     segment.  Every meeting is verified on all 64 bits.
 
+    From some ten million fingerprints on, keys of one segment (21 bits) would
+    meet too often.  Then the bits are cut finer and a key takes several
+    segments that differ by one bit at most together: 26, 32 or 37 bits.
+
 Scale
     Equal fingerprints are grouped before any join, so thousands of copies cost
     one row.  A first, linear pass links every fingerprint to the smallest one
@@ -34,6 +38,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -86,34 +91,69 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def segments(distance: int) -> list[tuple[int, int]]:
     """(first bit, bits) of the segments, at least two, that 64 bits are cut into."""
-    n = max(2, distance // 2 + 1)
+    return _cut(max(2, distance // 2 + 1))
+
+
+def _cut(n: int) -> list[tuple[int, int]]:
     cuts = [round(64 * k / n) for k in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _part(first: int, bits: int) -> Column:
-    return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+#: The bits of a fingerprint that a key holds: (first bit, bits) of each of its segments.
+Choice = tuple[tuple[int, int], ...]
+
+
+def choices(distance: int, together: int) -> list[Choice]:
+    """The segments, ``together`` of them at a time, of which some choice differs by one bit at most.
+
+    One of ``distance // 2 + 1`` segments does.  Of ``distance + m - 1`` segments
+    some m do: else the m that differ least would differ by two bits, and the
+    rest, by one each at least, by the others that are allowed and one more.
+    """
+    own = segments(distance) if together == 1 else _cut(distance + together - 1)
+    return list(combinations(own, together))
+
+
+def together(n: int, distance: int) -> int:
+    """How many segments a key should have, so that ``n`` fingerprints make the fewest rows and meetings."""
+
+    def cost(m: int) -> float:
+        bits = [sum(b for _, b in c) for c in choices(distance, m)]
+        return n * sum(b + 1 for b in bits) + n * n / 2 * sum((b + 1) / 2.0**b for b in bits)
+
+    # several segments only where they leave bits out, and keys stay few and fit beside their numbers
+    fits = lambda m: 1 < distance <= 9 - m and max(sum(b for _, b in c) for c in choices(distance, m)) <= 48
+    return min((m for m in (1, 2, 3, 4) if m == 1 or fits(m)), key=cost)
+
+
+def _part(choice: Choice, cleared: int = -1) -> Column:
+    """The choice's bits side by side, without one."""
+    out, at = F.lit(0).cast("long"), 0
+    for first, bits in choice:
+        kept = ((1 << bits) - 1) & ~(1 << cleared - at if at <= cleared < at + bits else 0)
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit(kept).cast("long")), at))
+        at += bits
+    return out
 
 
-def _key(segment: int, wildcard: int, rest: Column) -> Column:
-    """The number of the variant above the bits of a segment, 32 at most."""
-    return rest.bitwiseOR(F.lit((segment * 65 + wildcard) << 32).cast("long"))
+def _key(choice: int, wildcard: int, rest: Column) -> Column:
+    """The number of the variant above the bits of a choice, 48 at most."""
+    return rest.bitwiseOR(F.lit((choice * 65 + wildcard) << 48).cast("long"))
 
 
-def _variants(nodes: DataFrame, distance: int, bit: int) -> DataFrame:
+def _variants(nodes: DataFrame, options: list[Choice], bit: int) -> DataFrame:
     """One row per deleted bit that has the value ``bit`` in the fingerprint."""
     keys = []
-    for s, (first, bits) in enumerate(segments(distance)):
-        part = _part(first, bits)
-        for p in range(bits):
-            cleared = part.bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << p)).cast("long"))
-            has = F.shiftrightunsigned("fp", first + p).bitwiseAND(F.lit(1).cast("long")) == bit
-            keys.append(F.when(has, _key(s, p + 1, cleared)))
+    for s, choice in enumerate(options):
+        places = [first + k for first, bits in choice for k in range(bits)]
+        for p, place in enumerate(places):
+            has = F.shiftrightunsigned("fp", place).bitwiseAND(F.lit(1).cast("long")) == bit
+            keys.append(F.when(has, _key(s, p + 1, _part(choice, p))))
     return nodes.select("fp", "comp", F.explode(F.array_compact(F.array(*keys))).alias("key"))
 
 
-def _exact(nodes: DataFrame, distance: int) -> DataFrame:
-    keys = [_key(s, 0, _part(*cut)) for s, cut in enumerate(segments(distance))]
+def _exact(nodes: DataFrame, options: list[Choice]) -> DataFrame:
+    keys = [_key(s, 0, _part(choice)) for s, choice in enumerate(options)]
     return nodes.select("fp", "comp", F.explode(F.array(*keys)).alias("key"))
 
 
@@ -121,20 +161,22 @@ def _near(distance: int) -> Column:
     return F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
 
 
-def link(fps: DataFrame, distance: int, space: Workspace) -> DataFrame:
+def link(fps: DataFrame, distance: int, space: Workspace, at_a_time: int | None = None) -> DataFrame:
     """(fp, comp): for each different fingerprint, its component's smallest node number.
 
     ``fps`` has one row per different fingerprint.  ``comp`` is the smallest
-    fingerprint value of the component.
+    fingerprint value of the component.  Keys have as many segments as make the
+    fewest meetings for so many fingerprints; links are the same with any.
     """
     nodes = fps.select("fp", F.col("fp").alias("comp"))
-    exact = _exact(nodes, distance)
+    options = choices(distance, at_a_time or together(fps.count(), distance))
+    exact = _exact(nodes, options)
     hubs = exact.groupBy("key").agg(F.min("fp").alias("hub"))
     stars = exact.join(hubs, "key").where((F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= distance)).select(F.col("fp").alias("src"), F.col("hub").alias("dst")).distinct()
     stars = space.save(stars)
     first = propagate(fps.select("fp"), stars, space)
     space.drop(stars)
-    exact, zeros, ones = _exact(first, distance), _variants(first, distance, 0), _variants(first, distance, 1)
+    exact, zeros, ones = _exact(first, options), _variants(first, options, 0), _variants(first, options, 1)
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & _near(distance)
     ends = [F.least("a.comp", "b.comp").alias("src"), F.greatest("a.comp", "b.comp").alias("dst")]
     pairs = exact.alias("a").join(exact.alias("b"), same & (F.col("a.fp") < F.col("b.fp"))).select(*ends).union(zeros.alias("a").join(ones.alias("b"), same).select(*ends))
