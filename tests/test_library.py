@@ -244,6 +244,17 @@ def test_queries_equal_sql(spark, name):
     assert sorted(map(str, ran.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in got.collect())
 
 
+def test_sums_of_large_keys_wrap(spark, tmp_path):
+    from tidemark import queries
+
+    con = duckdb.connect()
+    path = f"{tmp_path}/lineitem.parquet"
+    con.execute(f"copy (select range l_orderkey, 1 l_linenumber, k l_partkey, 2 l_suppkey, 1.5::double l_quantity, 2.5::double l_extendedprice from range(4), (select unnest([0, 5807, 5808, 1::bigint << 61]) k)) to '{path}'")
+    con.execute(f"create view lineitem as select * from '{path}'")
+    want = con.execute(queries.oracle_sql()["m01_add"]).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in queries.queries()["m01_add"](spark, str(tmp_path)).collect())
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 

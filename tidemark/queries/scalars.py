@@ -20,7 +20,7 @@ def r(x, digits: int = 6):
     return F.round(x, digits)
 
 
-scalar("m01_add", "lineitem", L, {"y": (lambda: r(c(E) + c(Q)), f"round({E} + {Q}, 6)"), "w": (lambda: m.add(c("l_partkey") + F.lit(9223372036854770000), c("l_partkey"), wrapping=True), "CASE WHEN 2 * l_partkey + 9223372036854770000::HUGEINT > 9223372036854775807::HUGEINT THEN (2 * l_partkey + 9223372036854770000::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE (2 * l_partkey + 9223372036854770000::HUGEINT)::BIGINT END")})
+scalar("m01_add", "lineitem", L, {"y": (lambda: r(c(E) + c(Q)), f"round({E} + {Q}, 6)"), "w": (lambda: m.add(m.add(c("l_partkey"), 9223372036854770000, wrapping=True), c("l_partkey"), wrapping=True), "CASE WHEN 2 * l_partkey + 9223372036854770000::HUGEINT > 9223372036854775807::HUGEINT THEN (2 * l_partkey + 9223372036854770000::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE (2 * l_partkey + 9223372036854770000::HUGEINT)::BIGINT END")})
 scalar("m02_subtract", "lineitem", L, {"y": (lambda: r(m.subtract(c(E), c(Q))), f"round({E} - {Q}, 6)"), "z": (lambda: m.subtract(c("l_partkey"), 5000), "l_partkey - 5000")})
 scalar("m03_multiply", "lineitem", L, {"y": (lambda: r(m.multiply(c(E), 1 - c(D))), f"round({E} * (1 - {D}), 6)")})
 scalar("m04_divide", "lineitem", L, {"f": (lambda: n.divide(c(Q) - 25, c(D)), f"CASE WHEN {D} = 0 THEN CASE WHEN {Q} > 25 THEN {INF} WHEN {Q} < 25 THEN -{INF} ELSE {NAN} END ELSE ({Q} - 25) / {D} END"), "i": (lambda: n.divide(c("l_partkey") - 1000, 7, integral=True), "CAST(trunc((l_partkey - 1000) / 7.0) AS BIGINT)")})
