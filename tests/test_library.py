@@ -83,6 +83,11 @@ def test_shift_and_change(spark):
     assert values(window.pct_change(f, "v", block=3), "pct_change")[1:] == pytest.approx([1, 0.5, 1 / 3, 0.25])
 
 
+def test_change_after_zero(spark):
+    f = Frame.from_columns(spark, {"v": [0.0, 2.0, 0.0, 0.0, -1.0, None, 0.0]})
+    assert str(values(window.pct_change(f, "v", block=3), "pct_change")) == "[None, inf, -1.0, nan, -inf, None, None]"
+
+
 def test_selection_goldens(spark):
     a = Frame.from_columns(spark, {"a": [1, 2, 3, 4], "b": [5, 6, 7, 8]})
     cond = Frame.from_columns(spark, {"a": [True, False, True, False], "b": [False, True, False, True]})
@@ -255,6 +260,18 @@ def test_sums_of_large_keys_wrap(spark, tmp_path):
     assert sorted(want) == sorted(tuple(r) for r in queries.queries()["m01_add"](spark, str(tmp_path)).collect())
 
 
+def test_changes_are_rounded_as_in_sql(spark, tmp_path):
+    """A change over a zero, and one whose shortest decimal is a tie that its double isn't."""
+    from tidemark import queries
+
+    con = duckdb.connect()
+    path = f"{tmp_path}/events.parquet"
+    con.execute(f"copy (select generate_subscripts(v, 1) event_id, now()::timestamp ts, 1 user_id, 'a' event_type, unnest(v) value from (select [51.2, 0.0, 160.66, 3.0, 0.0, 0.0, 0.0]::double[] v)) to '{path}'")
+    con.execute(f"create view events as select * from '{path}'")
+    want = con.execute(queries.oracle_sql()["w07_pct_change"]).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in queries.queries()["w07_pct_change"](spark, str(tmp_path)).collect())
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 

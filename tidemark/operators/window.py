@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..frame import IDX, POS, ROW, Frame
+from ..functions import nulls
 from ..order import PART
 
 #: Rows that a shift sends along with a range; a longer shift is a join of positions.
@@ -190,9 +191,10 @@ def shift(frame: Frame, columns: Mapping[str, str], periods: int = 1, fill: obje
 
 
 def pct_change(frame: Frame, column: str, periods: int = 1, name: str = "pct_change", *, by: Sequence[str] = (), block: int | None = None) -> Frame:
+    """The relative change over so many rows, in IEEE arithmetic: after a zero it is infinite, or NaN for another zero."""
     moved = shift(frame, {column: "__before"}, periods, by=by, block=block)
     x, before = F.col(f"`{column}`").cast("double"), F.col("__before").cast("double")
-    return Frame(moved.df.withColumn(name, F.try_divide(x, before) - 1).drop("__before"))
+    return Frame(moved.df.withColumn(name, nulls.divide(x, before) - 1).drop("__before"))
 
 
 def ewm_alpha(com: float | None = None, span: float | None = None, halflife: float | None = None, alpha: float | None = None) -> float:

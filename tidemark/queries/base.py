@@ -32,6 +32,16 @@ def event_frame(spark: SparkSession, sf_dir: str, *columns: str, index: str = "t
     return Frame.of(picked, index, ["event_id"], keep=index in columns)[list(columns)]
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """Doubles rounded as SQL's engines do: the product with a power of ten, half away from zero.
+
+    ``F.round`` rounds the shortest decimal of a double, which may be a tie that the double isn't.
+    """
+    x, ten = F.col(x) if isinstance(x, str) else x, F.lit(10.0**digits)
+    scaled = x * ten
+    return F.when(F.isnan(scaled) | (F.abs(scaled) == float("inf")), x).otherwise(F.round(scaled) / ten)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
         if name in FOUND:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..frame import IDX, Frame
 from ..operators import window as w
 from .base import EV, event_frame, query
+from .base import rounded as near
 
 c = F.col
 
@@ -104,7 +105,7 @@ def w06(spark, sf_dir):
 @query("w07_pct_change", "SELECT event_id AS \"index\", round(value / lag(value, 2) OVER (ORDER BY event_id) - 1, 8) AS y FROM events")
 def w07(spark, sf_dir):
     out = w.pct_change(numbered(spark, sf_dir, "value"), "value", 2, "y", block=1000)
-    return out.df.select(c(IDX).alias("index"), F.round("y", 8).alias("y"))
+    return out.df.select(c(IDX).alias("index"), near("y", 8).alias("y"))
 
 
 # the adjusted mean is a ratio of weighted sums, so SQL has it in closed form per entity
