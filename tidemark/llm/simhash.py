@@ -22,7 +22,10 @@ Linking
 
 Scale
     Equal fingerprints are grouped before any join, so thousands of copies cost
-    one row.  A first, linear pass links every fingerprint to the smallest one
+    one row.  Exploded keys and tables of a row per fingerprint are joined by
+    merging: Spark sizes them by the file that they come from, so it would build
+    and broadcast dozens of keys for each 16 bytes of it on the driver.
+    A first, linear pass links every fingerprint to the smallest one
     in its bucket; the joins then emit only pairs whose ends are still in
     different components, so a dense family yields a handful of rows, not all
     its pairs.  Hot keys stay splittable joins (adaptive skew handling), groups
@@ -172,18 +175,18 @@ def link(fps: DataFrame, distance: int, space: Workspace, at_a_time: int | None
     options = choices(distance, at_a_time or together(fps.count(), distance))
     exact = _exact(nodes, options)
     hubs = exact.groupBy("key").agg(F.min("fp").alias("hub"))
-    stars = exact.join(hubs, "key").where((F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= distance)).select(F.col("fp").alias("src"), F.col("hub").alias("dst")).distinct()
+    stars = exact.join(hubs.hint("merge"), "key").where((F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= distance)).select(F.col("fp").alias("src"), F.col("hub").alias("dst")).distinct()
     stars = space.save(stars)
     first = propagate(fps.select("fp"), stars, space)
     space.drop(stars)
     exact, zeros, ones = _exact(first, options), _variants(first, options, 0), _variants(first, options, 1)
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & _near(distance)
     ends = [F.least("a.comp", "b.comp").alias("src"), F.greatest("a.comp", "b.comp").alias("dst")]
-    pairs = exact.alias("a").join(exact.alias("b"), same & (F.col("a.fp") < F.col("b.fp"))).select(*ends).union(zeros.alias("a").join(ones.alias("b"), same).select(*ends))
+    pairs = exact.alias("a").join(exact.alias("b").hint("merge"), same & (F.col("a.fp") < F.col("b.fp"))).select(*ends).union(zeros.alias("a").join(ones.alias("b").hint("merge"), same).select(*ends))
     edges = space.save(pairs.distinct())
     second = propagate(first.select(F.col("comp").alias("fp")).distinct(), edges, space)
     space.drop(edges)
-    return first.alias("f").join(second.alias("s"), F.col("f.comp") == F.col("s.fp")).select("f.fp", "s.comp")
+    return first.alias("f").join(second.alias("s").hint("merge"), F.col("f.comp") == F.col("s.fp")).select("f.fp", "s.comp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 4, distance: int = 4, space: Workspace | None = None) -> DataFrame:
@@ -203,11 +206,11 @@ def _classes(fps: DataFrame, distance: int, space: Workspace) -> DataFrame:
     """The rows of ``fps`` (id, fp and others) with component and component_id."""
     nodes = space.save(fps.groupBy("fp").agg(F.min("id").alias("least")))
     comps = space.save(link(nodes.select("fp"), distance, space))
-    names = comps.join(nodes, "fp").groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = space.save(comps.join(names, "comp").select("fp", F.col("comp").alias("component"), "component_id"))
+    names = comps.join(nodes.hint("merge"), "fp").groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = space.save(comps.join(names.hint("merge"), "comp").select("fp", F.col("comp").alias("component"), "component_id"))
     for done in (nodes, comps):
         space.drop(done)
-    return fps.join(named, "fp")
+    return fps.join(named.hint("merge"), "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 4, distance: int = 4) -> DataFrame:
