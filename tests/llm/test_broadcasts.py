@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, simhash
+from tidemark.llm import components, jaccard, simhash
 from tidemark.llm.store import Workspace
 
 
@@ -27,6 +27,14 @@ def test_fingerprint_keys_are_joined_by_merging(spark, planned):
     assert len(exploded) == 2 and not any("BroadcastHashJoin" in p for p in exploded)
 
 
+def test_prefixes_are_joined_by_merging(spark, planned):
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[: 59 - i] + [f"x{i}"])) for i in range(4)], "doc_id long, text string")
+    assert jaccard.keep_one(docs).count() == 1
+    exploded = [p for p in planned if "Generate explode(prefix" in p]
+    assert exploded and not any("BroadcastHashJoin" in p for p in exploded)
+
+
 def test_many_edges_are_joined_by_merging(spark, planned, monkeypatch):
     edges = spark.range(1, 50).select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst"))
     for few in (1000, 1):
