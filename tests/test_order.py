@@ -154,6 +154,20 @@ def test_aggregates_without_gathering(spark, monkeypatch):
     assert aggregate.correlation(f, "x", "n", "spearman").first().corr == pytest.approx(x.rank().corr(y[x.notna()].rank()))
 
 
+def test_chunks_that_combine_hold_no_group(spark):
+    f = Frame.of(spark.createDataFrame([(k, None if k % 5 == 0 else k % 2, k * 7 % 300) for k in range(300)], "k long, g long, v long"), "k")
+
+    def chunk(p):
+        assert len(p) < 100, "a group in one call"
+        return pd.DataFrame({"first": [p["v"].iloc[0]], "n": [len(p)]})
+
+    def combine(p):
+        return pd.DataFrame({"first": [p["first"].iloc[0]], "n": [p["n"].sum()]})
+
+    got = aggregate.group_by(f, "g").apply_chunk(chunk, "first long, n long", combine, block=30).collect()
+    assert sorted(map(tuple, got)) == [(0, 60), (7, 120), (14, 120)]
+
+
 def test_rows_keep_longs_and_digests(spark):
     import pyarrow as pa
     import pyarrow.compute as pc

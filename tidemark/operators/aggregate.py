@@ -11,13 +11,15 @@ from pyspark.sql import types as T
 
 from ..frame import IDX, POS, Frame
 from ..functions import nulls
-from ..order import Key, Ranges, with_position
+from ..order import PART, Key, Ranges, with_position
 
 
 #: Values that one task multiplies or sorts as an array.
 LIST = 10_000
 #: Different values of a column up to which its quantiles are found in one aggregation.
 DIFFERENT = 200_000
+#: Rows of the frame in a run of a chunk function that combines.
+CHUNK = 500_000
 
 
 def product(x: Column) -> Column:
@@ -392,15 +394,36 @@ class Grouped:
 
         return Frame(self.frame.df.groupBy(self.key).applyInPandas(run, f"{IDX} {label}, {POS} {place}, `{name}` {kind}"))
 
-    def apply_chunk(self, function: Callable, schema: str) -> DataFrame:
-        """The rows that a function makes of each group's."""
+    def apply_chunk(self, function: Callable, schema: str, combine: Callable | None = None, block: int = CHUNK) -> DataFrame:
+        """The rows that a function makes of each group's.
+
+        With ``combine`` no task holds a group: the function gets runs of a
+        group's rows, of about ``block`` rows of the frame, and ``combine`` its
+        rows of all runs, in order.
+        """
         columns = self.frame.columns
+        if combine:
+            return self._apply_runs(function, schema, combine, block)
 
         def run(pdf):
             return function(pdf.sort_values(POS, kind="stable")[columns])
 
         return self.frame.df.groupBy(self.key).applyInPandas(run, schema)
 
+    def _apply_runs(self, function: Callable, schema: str, combine: Callable, block: int) -> DataFrame:
+        columns, key, kinds = self.frame.columns, self.key, T.StructType.fromDDL(schema)
+        rows = self.frame.parted(block).withColumn("__of", F.col(f"`{key}`"))
+
+        def run(pdf):
+            out = function(pdf.sort_values(POS, kind="stable")[columns])
+            return out.assign(**{"__of": pdf["__of"].iloc[0], PART: pdf[PART].iloc[0]})
+
+        def merge(pdf):
+            return combine(pdf.sort_values(PART, kind="stable")[kinds.names])
+
+        marks = T.StructType([T.StructField("__of", rows.schema["__of"].dataType), T.StructField(PART, T.IntegerType())])
+        return rows.groupBy("__of", PART).applyInPandas(run, T.StructType(kinds.fields + marks.fields)).groupBy("__of").applyInPandas(merge, kinds)
+
     def apply_columns(self, function: Callable, columns: Sequence[str] | None = None) -> DataFrame:
         """A function of each column of each group, to one double."""
         names = list(columns or self.frame.columns)

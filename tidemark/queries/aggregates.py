@@ -257,7 +257,10 @@ def g16(spark, sf_dir):
     def chunk(p):
         return p.groupby("event_type", as_index=False).agg(top=("user_id", "max"), n=("user_id", "size"))
 
-    return a.group_by(frame(spark, sf_dir), "event_type").apply_chunk(chunk, "event_type string, top long, n long")
+    def combine(p):
+        return p.groupby("event_type", as_index=False).agg(top=("top", "max"), n=("n", "sum"))
+
+    return a.group_by(frame(spark, sf_dir), "event_type").apply_chunk(chunk, "event_type string, top long, n long", combine)
 
 
 @query("g17_g19_apply_to_columns", f"SELECT event_type AS key, round(sum(v), 2) AS v, CAST(sum(user_id) AS DOUBLE) AS user_id FROM {EV} GROUP BY 1")
