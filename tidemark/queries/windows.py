@@ -126,7 +126,7 @@ def w10(spark, sf_dir):
     f = numbered(spark, sf_dir, "value", "user_id")
     var = w.ewm(f, "value", "var", "var", alpha=0.5, by=["user_id"])
     std = w.ewm(f, "value", "std", "std", span=3.0, by=["user_id"])
-    return var.df.join(std.df.select(IDX, "std"), IDX).select(c(IDX).alias("index"), "user_id", F.round("var", 5).alias("var"), F.round("std", 5).alias("std"))
+    return var.df.join(std.df.select(IDX, "std"), IDX).select(c(IDX).alias("index"), "user_id", near("var", 5).alias("var"), near("std", 5).alias("std"))
 
 
 class Streak:
